@@ -5,6 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op8_ngram_jaccard": "jaccard",
     "op2_token_records": "token_records",
     "op3_token_counts": "token_counts",
     "op9_decontaminate": "decontaminate",
