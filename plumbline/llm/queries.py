@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op6_poisson_mix": "mixing",
+    "op10_line_dedup": "line_dedup",
     "op8_ngram_jaccard": "jaccard",
     "op2_token_records": "token_records",
     "op3_token_counts": "token_counts",
