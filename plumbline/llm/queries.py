@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op1_warc_archive": "warc",
+    "op5_audio_features": "audio",
     "op6_poisson_mix": "mixing",
     "op10_line_dedup": "line_dedup",
     "op8_ngram_jaccard": "jaccard",
