@@ -5,6 +5,8 @@ from __future__ import annotations
 from importlib import import_module
 
 _MODULES = {
+    "op4_quality_attention": "quality",
+    "op7_language_id": "language",
     "op1_warc_archive": "warc",
     "op5_audio_features": "audio",
     "op6_poisson_mix": "mixing",
