@@ -351,9 +351,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = self_join(docs, id_col, text_col)
     gone = common.materialize(found.where("component_id != doc_id").select(F.col("doc_id").alias("_pl_id")).distinct(), "near-copies")
-    small = gone.count() <= common.BROADCAST_ROWS
-    left = docs.join(F.broadcast(gone) if small else gone, F.col(f"`{id_col}`") == F.col("_pl_id"), "left_anti")
-    return left
+    own = F.col(f"`{id_col}`").cast("long")
+    left = common.join_by_keys(docs.withColumn("_pl_id", own), gone, "_pl_id", "left_anti")
+    again = common.materialize(docs.groupBy(own.alias("_pl_id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND _pl_id IS NOT NULL").select("_pl_id"), "repeated-ids")
+    if again.isEmpty():
+        return left.drop("_pl_id")
+    repeated = common.join_by_keys(left, again, "_pl_id", "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = repeated.groupBy("_pl_id").agg(F.min_by(row, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_pl_row")).select("_pl_row.*")
+    return common.join_by_keys(left, again, "_pl_id", "left_anti").drop("_pl_id").union(one)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
