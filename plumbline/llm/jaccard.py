@@ -7,19 +7,22 @@ words, the whole sequence is one). Two link when 100 * |A & B| >= 80 * |A | B|.
 2. Prefix filter. Under any common order of shingles, linked sets share one of
    their first p = n - ceil(0.8 n) + 1. The order is: hashes below ``TAU`` of the
    hash space first, rarest first by exact counts over all nodes, then the others
-   by hash; so a node emits max(p, its low hashes), about a fifth of its set.
-   Shingles that one node has are never shipped further.
-3. Nodes of long inverted lists (``HOT``) are taken anew with exact counts of all
-   their shingles, which takes common passages out of their prefixes.
+   by hash; so a node emits max(p, its low hashes), about a third of its set.
+   Shingles that one node has are never shipped further. An inverted list is cut
+   by size: its part b has the nodes of size classes b and b + 1, classes a factor
+   of 1.25 apart, as sets that link differ by no more.
+3. Nodes of long lists (``HOT``) are taken anew with exact counts of all their
+   shingles, which takes common passages out of their prefixes.
 4. T-occurrence search within an inverted list (DivideSkip): a query's longest
    lists are set aside, its short ones are heap-merged, candidates are probed for
    in the long ones by binary search, and a pair is linked if its whole overlap
    suffices. Pairs that are already connected aren't counted again, so a group of
-   copies costs a row per member, not per pair. First each node is searched in
-   its longest list alone, in blocks of ``BLOCK`` that share pivots; then lists
-   that still hold several components are searched in full, every member outside
-   the largest component against all blocks. Nothing is capped: a list of any
-   length is worked off in blocks of bounded size.
+   copies costs a row per member, not per pair. Lists that share nodes make up a
+   family. A family of at most ``BLOCK`` nodes is one block. In a larger one each
+   node is first searched in its longest list alone, in blocks of ``BLOCK`` that
+   share pivots; then lists that still hold several components are searched in
+   full, every member outside the largest component against all blocks. Nothing
+   is capped: a list of any length is worked off in blocks of bounded size.
 5. Components by alternating large and small stars, on tables in the shared folder.
 
 Defined cases: null, empty and wordless texts have no shingles and link with
@@ -43,8 +46,8 @@ from . import common, textscan
 
 SHINGLE = 5
 PERCENT = 80
-TAU = 0.2
-HOT = 64
+TAU = 0.3
+HOT = 16
 BLOCK = 512
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.0085
@@ -102,19 +105,21 @@ def _whole(k: int):
 
 
 def _explode_bytes(batches):
-    """node, shingles -> node, h, r: every shingle of the set."""
+    """node, shingles -> node, n, r, h: every shingle of the set."""
     for batch in batches:
         for node, data in zip(batch.column(0).to_pylist(), batch.column(1)):
             s = np.frombuffer(data.as_buffer(), dtype=np.int64)
             if len(s):
                 r = prefix_size(len(s)) - len(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(s), pa.array(np.full(len(s), r, dtype=np.int32))], names=["node", "h", "r"])
+                n = np.full(len(s), len(s), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), node)), pa.array(n), pa.array(np.full(len(s), r, dtype=np.int32)), pa.array(s)], names=["node", "n", "r", "h"])
 
 
 def inverted_lists(postings: DataFrame, tau: float, name: str) -> DataFrame:
     """Prefix postings (node, h, size of h's list) of lists of two nodes or more, equal lists once.
 
-    postings: (node, h, r), where r is the prefix size less the number emitted.
+    postings: (node, n, r, h), where r is the prefix size less the number emitted.
+    A list here is one of a shingle's parts by size, so h is a hash of both.
     """
     bound = -(1 << 63) + int(tau * 2**64)
     counts = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -122,7 +127,9 @@ def inverted_lists(postings: DataFrame, tau: float, name: str) -> DataFrame:
     last = F.lit(False) if tau >= 1 else F.col("h") >= F.lit(bound)
     by_node = Window.partitionBy("node")
     ranked = shared.withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("place", F.row_number().over(by_node.orderBy(last, F.when(last, F.lit(0)).otherwise(F.col("df")), "h")))
-    prefix = common.materialize(ranked.where("place <= r + shared").select("node", "h"), f"{name}-prefix")
+    size_class = F.floor(F.log("n") / F.lit(math.log(1.25001)))
+    parts = F.explode(F.array(F.xxhash64("h", size_class), F.xxhash64("h", size_class - 1)))
+    prefix = common.materialize(ranked.where("place <= r + shared").select("node", parts.alias("h")), f"{name}-prefix")
     signed = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")).where("size > 1")
     chosen = signed.groupBy("size", "a", "b").agg(F.min("h").alias("h")).select("h", "size")
     return common.materialize(prefix.join(chosen, "h").select("node", "h", "size"), f"{name}-lists")
@@ -253,7 +260,9 @@ def _edge_batch(edges):
 
 def search(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (u, v) found within blocks (h, c, g, node, label, asks)."""
-    rows = blocks.join(sets, "node").select("h", "c", "g", "node", "label", "asks", "shingles")
+    blocks = common.materialize(blocks, "blocks")
+    small = F.broadcast(blocks) if blocks.count() <= common.BROADCAST_ROWS else blocks
+    rows = sets.join(small, "node").select("h", "c", "g", "node", "label", "asks", "shingles")
     dealt = rows.repartition("h", "c", "g").sortWithinPartitions("h", "c", "g")
     return dealt.mapInArrow(_search_blocks(percent), "u long, v long")
 
@@ -283,6 +292,20 @@ def components(edges: DataFrame) -> DataFrame:
     return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
 
 
+def families(lists: DataFrame) -> DataFrame:
+    """(node, family, members): nodes that lists connect."""
+    first = lists.groupBy("h").agg(F.min("node").alias("v"))
+    of = components(lists.join(first, "h").select(F.col("node").alias("u"), "v"))
+    of = common.materialize(of.withColumnRenamed("component", "family"), "families")
+    return of.join(of.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family").select("node", "family", "members")
+
+
+def blocks_of_families(of: DataFrame) -> DataFrame:
+    """Each family as one block."""
+    zero = F.lit(0).cast("long")
+    return of.select(F.col("family").alias("h"), zero.alias("c"), zero.alias("g"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"))
+
+
 def blocks_of_longest(lists: DataFrame) -> DataFrame:
     """Each node in its longest list alone, in blocks that share three pivots."""
     own = lists.groupBy("node").agg(F.max(F.struct("size", "h")).alias("x")).select("node", "x.h")
@@ -320,23 +343,27 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     classes = common.materialize(classes, "classes")
     copies = common.materialize(named.select("doc_id", "digest").join(classes, "digest").where("doc_id != rep").select("doc_id", "digest", "rep"), "copies")
     postings = common.join_by_keys(named, copies.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
-    postings = postings.select(F.col("doc_id").alias("node"), "r", F.explode("low").alias("h"))
+    postings = postings.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), "r", F.explode("low").alias("h"))
     lists = inverted_lists(postings, tau, "low")
 
     wanted = common.materialize(lists.select(F.col("node").alias("doc_id")).distinct(), "nodes")
     sets = common.materialize(common.join_by_keys(texts, wanted, "doc_id", "left_semi").mapInArrow(_whole(k), "node long, shingles binary"), "sets")
     hot_nodes = common.materialize(lists.where(F.col("size") > hot).select("node").distinct(), "hot-nodes")
-    again = common.join_by_keys(sets, hot_nodes, "node", "left_semi").mapInArrow(_explode_bytes, "node long, h long, r int")
+    again = common.join_by_keys(sets, hot_nodes, "node", "left_semi").mapInArrow(_explode_bytes, "node long, n int, r int, h long")
     lists = common.materialize(lists.where(F.col("size") <= hot).union(inverted_lists(again, 1.0, "hot")), "lists")
 
     # Copies of a document that has rows with other texts too: an id is one document.
     several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     same = copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    edges = [common.materialize(search(blocks_of_longest(lists), sets, percent).union(same), "links")]
-    found = common.materialize(components(edges[0]), "components")
-    edges.append(common.materialize(search(blocks_of_rest(lists, found), sets, percent), "more-links"))
-    if not edges[1].isEmpty():
-        found = common.materialize(components(reduce(DataFrame.union, edges)), "components")
+    of = common.materialize(families(lists), "families")
+    edges = [common.materialize(search(blocks_of_families(of.where(F.col("members") <= BLOCK)), sets, percent).union(same), "links")]
+    large = common.materialize(of.where(F.col("members") > BLOCK).select("node"), "large-families")
+    if not large.isEmpty():
+        lists = common.materialize(common.join_by_keys(lists, large, "node", "left_semi"), "large-lists")
+        edges.append(common.materialize(search(blocks_of_longest(lists), sets, percent), "links"))
+        found = common.materialize(components(edges[1]), "components")
+        edges.append(common.materialize(search(blocks_of_rest(lists, found), sets, percent), "links"))
+    found = common.materialize(components(reduce(DataFrame.union, edges)), "components")
 
     joined = rows.select("doc_id", "n", "digest").join(classes, "digest", "left")
     joined = joined.withColumn("node", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))).join(found, "node", "left")
