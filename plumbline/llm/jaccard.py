@@ -268,7 +268,7 @@ def search(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component = smallest id of its component) of the nodes that have edges."""
+    """(node, component = smallest id of its component) of all nodes that have edges."""
     def ordered(e):
         return e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
@@ -289,7 +289,8 @@ def components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
+    roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(roots)
 
 
 def families(lists: DataFrame) -> DataFrame:
