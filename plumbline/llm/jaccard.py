@@ -18,7 +18,8 @@ words, the whole sequence is one). Two link when 100 * |A & B| >= 80 * |A | B|.
    in the long ones by binary search, and a pair is linked if its whole overlap
    suffices. Pairs that are already connected aren't counted again, so a group of
    copies costs a row per member, not per pair. Lists that share nodes make up a
-   family. A family of at most ``BLOCK`` nodes is one block. In a larger one each
+   family. A family of at most ``BLOCK`` nodes is one block. A larger one counts as
+   one list where that is less work than its lists, which may overlap; there each
    node is first searched in its longest list alone, in blocks of ``BLOCK`` that
    share pivots; then lists that still hold several components are searched in
    full, every member outside the largest component against all blocks. Nothing
@@ -51,6 +52,8 @@ HOT = 16
 BLOCK = 512
 #: DivideSkip's weight of a probe against a merge step.
 MU = 0.0085
+#: Elements up to which short lists are merged by a heap; more by merging runs in numpy, in the same order.
+MERGE = 400
 _SIGN = np.uint64(1 << 63)
 
 
@@ -166,21 +169,24 @@ class Lists:
         floor = -(-self.percent * int(self.sizes[q]) // 100)  # any linked set shares at least so many, being in q's size range
         aside = min(int(floor / (MU * math.log2(max(longest, 2)) + 1)), floor - 1)
         least = floor - aside
-        short = [x.tolist() for i in own[aside:] if self.length[i] > 1 and len(x := self._kept(i, wanted))]
+        short = [x for i in own[aside:] if self.length[i] > 1 and len(x := self._kept(i, wanted))]
         found: list[int] = []
         counts: list[int] = []
-        run, last = 0, -1
-        for x in heapq.merge(*short):
-            if x != last:
-                if run >= least:
+        if sum(map(len, short)) > MERGE:  # numpy's stable sort merges sorted runs
+            found, counts = (x.tolist() for x in np.unique(np.sort(np.concatenate(short), kind="stable"), return_counts=True))
+        else:
+            run, last = 0, -1
+            for x in heapq.merge(*map(np.ndarray.tolist, short)):
+                if x != last and run:
                     found.append(last)
                     counts.append(run)
-                run, last = 0, x
-            run += 1
-        if run >= least:
-            found.append(last)
-            counts.append(run)
+                    run = 0
+                run, last = run + 1, x
+            if run:
+                found.append(last)
+                counts.append(run)
         who, seen = np.array(found, dtype=np.int64), np.array(counts, dtype=np.int64)
+        who, seen = who[seen >= least], seen[seen >= least]
         for k, i in enumerate(own[:aside]):
             if not len(who):
                 return who
@@ -307,6 +313,16 @@ def blocks_of_families(of: DataFrame) -> DataFrame:
     return of.select(F.col("family").alias("h"), zero.alias("c"), zero.alias("g"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"))
 
 
+def lists_of_large(lists: DataFrame, large: DataFrame) -> DataFrame:
+    """The lists of large families; where they repeat the same nodes so much that the family as one list is less to search, that."""
+    small = F.broadcast(large) if large.count() <= common.BROADCAST_ROWS else large
+    own = common.materialize(lists.join(small, "node"), "family-lists")
+    work = own.groupBy("family", "h").agg(F.count(F.lit(1)).alias("c"), F.max("members").alias("members")).groupBy("family").agg(F.sum(F.col("c") * F.col("c")).alias("work"), F.max("members").alias("members"))
+    whole = common.materialize(work.where(F.col("members") * F.col("members") <= F.col("work")).select("family"), "whole-families")
+    together = common.join_by_keys(large, whole, "family", "left_semi").select("node", F.col("family").alias("h"), F.col("members").alias("size"))
+    return common.join_by_keys(own, whole, "family", "left_anti").select("node", "h", "size").union(together)
+
+
 def blocks_of_longest(lists: DataFrame) -> DataFrame:
     """Each node in its longest list alone, in blocks that share three pivots."""
     own = lists.groupBy("node").agg(F.max(F.struct("size", "h")).alias("x")).select("node", "x.h")
@@ -358,9 +374,9 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     same = copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     of = common.materialize(families(lists), "families")
     edges = [common.materialize(search(blocks_of_families(of.where(F.col("members") <= BLOCK)), sets, percent).union(same), "links")]
-    large = common.materialize(of.where(F.col("members") > BLOCK).select("node"), "large-families")
+    large = common.materialize(of.where(F.col("members") > BLOCK), "large-families")
     if not large.isEmpty():
-        lists = common.materialize(common.join_by_keys(lists, large, "node", "left_semi"), "large-lists")
+        lists = common.materialize(lists_of_large(lists, large), "large-lists")
         edges.append(common.materialize(search(blocks_of_longest(lists), sets, percent), "links"))
         found = common.materialize(components(edges[1]), "components")
         edges.append(common.materialize(search(blocks_of_rest(lists, found), sets, percent), "links"))
