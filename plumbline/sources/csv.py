@@ -57,9 +57,13 @@ def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: s
     encoding = encoding or _whole_encoding(spark, path, data)
     first = data.split(b"\n", 1)[0].decode(encoding, "replace")
     names = header_names(first, sep)
-    charset = {"utf-8-sig": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
+    charset = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
     raw = spark.read.csv(path, schema=schema, sep=sep, header=True, enforceSchema=True, encoding=charset, quote='"', escape='"', multiLine=b'"' in data, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
+    if encoding == "cp1252":  # Spark reads no cp1252, which differs from ISO-8859-1 in 27 places
+        there = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
+        there = {k: v for k, v in there.items() if v}
+        raw = raw.select(*[F.translate(col(c), "".join(there), "".join(there.values())).alias(c) for c in raw.columns])
     cells = raw.select(*[F.when(~col(c).isin(*fixed.CSV_NA), col(c)).alias(c) for c in raw.columns])
     if max_rows is not None:
         cells = sample_exact(cells.withColumn("_pl_row", F.monotonically_increasing_id()), max_rows, "_pl_row", seed).drop("_pl_row")
