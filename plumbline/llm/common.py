@@ -57,8 +57,16 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_by_keys(df: DataFrame, keys: DataFrame, on: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Semi or anti join with a written table of keys.
+    """Join with a written table of keys or of a row per key.
 
     The keys are counted first: up to ``limit`` they are broadcast, so the wide
     side doesn't move; beyond it both sides are shuffled.

@@ -176,13 +176,15 @@ def _runs(hits, start, end, old) -> tuple[list[tuple[int, int]], int]:
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents in which no benchmark window occurs, columns as given."""
-    found = annotate(docs, benchmark, text_col, out_col="_found", **options)
-    return found.where(F.col("_found.n_hit") == 0).select(*[f"`{c}`" for c in docs.columns])
+    out = common.free_name(docs, "_found")
+    found = annotate(docs, benchmark, text_col, out_col=out, **options)
+    return found.where(F.col(out)["n_hit"] == 0).select(*[f"`{c}`" for c in docs.columns])
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """The documents with the hit runs cut out of their texts; null stays null."""
-    found = annotate(docs, benchmark, text_col, out_col="_found", **options)
+    out = common.free_name(docs, "_found")
+    found = annotate(docs, benchmark, text_col, out_col=out, **options)
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -199,7 +201,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
             out.append(text)
         return pd.Series(out, dtype=object)
 
-    cleaned = found.withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col("_found.spans")))
+    cleaned = found.withColumn(text_col, cut(F.col(f"`{text_col}`"), F.col(out)["spans"]))
     return cleaned.select(*[f"`{c}`" for c in docs.columns])
 
 

@@ -20,7 +20,8 @@ Defined cases: null and empty texts have no letters and aren't accepted; their
 language is what declaration and address say; null hosts and suffixes are groups of
 their own; a declared language that isn't among the model's counts as "other";
 null ids pass through; repeated rows are counted on their own; an empty table
-gives no rows, and a training table without languages raises ValueError.
+gives no rows; a training table that names no language leaves one, ``und``, at
+confidence 1, so that records with a letter are accepted.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ TEMPER = 0.3
 KAPPA = 20.0
 CONFIDENCE = 0.5
 ALPHA = 0.2
+#: The only language where no row names one.
+UNKNOWN = "und"
 
 #: Letters are folded, everything else is one kind of gap.
 FOLD = np.full(256, 32, dtype=np.uint8)
@@ -73,7 +76,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.trim(F.col(f"`{lang_col}`"))).alias("lang")).where("id IS NOT NULL AND lang != ''")
     counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
     if not counts:
-        raise ValueError("no row names a language")
+        return [UNKNOWN], np.zeros((BUCKETS, 1), dtype=np.float32)
     # A hash threshold by language leaves a little more than the sample, whatever the language's size.
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * sample / n + 50 / n))])
     place = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))

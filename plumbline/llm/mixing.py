@@ -17,7 +17,8 @@ same, 1: as they are).
 Defined cases: a null source is a source of its own; null ids share one draw, as
 repeated rows do; null and empty texts are rows like others; a source without a
 given weight, or of weight 0, gets none; an empty table gives no rows. Columns of
-any name pass through, but for two of the names that this adds.
+any name pass through; where the input has a name that this adds, the added
+column's name ends in underscores.
 """
 
 from __future__ import annotations
@@ -76,12 +77,13 @@ def mix(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", wei
     u = uniform(F.lit(seed), F.col(f"`{id_col}`"))
     counted = drawn.withColumn("_pl_u", u).withColumn("_pl_n", F.size(F.filter("_pl_cdf", lambda x: x <= F.col("_pl_u"))))
     names = [F.col(f"`{c}`") for c in docs.columns]
-    copies = counted.where("_pl_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_pl_n"))).alias("copy_no"))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.col("copy_no").cast("string")))
-    keyed = copies.withColumn("shuffle_key", F.substring(key, 1, 16))
+    number, place = common.free_name(docs, "copy_no"), common.free_name(docs, "shuffle_key")
+    copies = counted.where("_pl_n > 0").select(*names, F.explode(F.sequence(F.lit(1), F.col("_pl_n"))).alias(number))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.col(number).cast("string")))
+    keyed = copies.withColumn(place, F.substring(key, 1, 16))
     # The place in the input spreads rows that are equal in all else.
-    dealt = keyed.withColumn("_pl_place", F.monotonically_increasing_id()).repartition(F.xxhash64("shuffle_key", "_pl_place"))
-    return dealt.sortWithinPartitions("shuffle_key").drop("_pl_place")
+    dealt = keyed.withColumn("_pl_place", F.monotonically_increasing_id()).repartition(F.xxhash64(place, "_pl_place"))
+    return dealt.sortWithinPartitions(place).drop("_pl_place")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

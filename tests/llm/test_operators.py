@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 pytest.importorskip("plumbline.llm.common")
 
@@ -221,6 +222,9 @@ def test_mixing(spark, edge, none):
     assert abs(high - 40_000) < 1500
     assert {r["source"] for r in mixing.mix(docs, weights={"big": 1.0, "small": 0.0}).select("source").distinct().collect()} == {"big"}
     assert mixing.mix(none).count() == 0
+    clash = docs.limit(50).selectExpr("doc_id", "source", "'a' AS copy_no", "'b' AS Shuffle_Key")
+    mixed = mixing.mix(clash)
+    assert mixed.columns == [*clash.columns, "copy_no_", "shuffle_key_"] and {(r["copy_no"], r["Shuffle_Key"]) for r in mixed.select(*clash.columns).collect()} == {("a", "b")}
     assert {r["source"] for r in mixing.mix(edge, target_rows=500).collect()} == {None, "s0"}
 
 
@@ -241,8 +245,9 @@ def test_language(spark, edge, none):
     kept = language.keep_accepted(docs.union(spark.createDataFrame([(500, "", "aa", "h"), (501, None, "bb", None), (502, "!!!", "aa", "h")], docs.schema)))
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == set(range(200))
     assert language.identify(language.document_records(none), model).count() == 0
-    with pytest.raises(ValueError):
-        language.train(none)
+    assert language.keep_accepted(none).count() == 0
+    unnamed = edge.withColumn("lang", F.lit(None).cast("string"))
+    assert {r["doc_id"] for r in language.keep_accepted(unnamed).collect()} == {i for i, t in enumerate(EDGE) if any(c.isalpha() for c in t or "")}
 
 
 def test_language_of_pages(spark):
@@ -337,6 +342,8 @@ def test_decontamination_against_brute_force(spark, edge, none, part_bytes):
     clean = {i for i, t in enumerate(texts) if not brute_hits(t, items)[1]}
     kept = decontaminate.drop_documents(docs, bench, part_bytes=part_bytes)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == clean
+    clash = decontaminate.drop_documents(docs.withColumnRenamed("text_", "_found"), bench, part_bytes=part_bytes)
+    assert {(r["doc_id"], r["_found"]) for r in clash.collect()} == {(i, "x") for i in clean}
     cut = {r["doc_id"]: r["text"] for r in decontaminate.remove_spans(docs, bench).collect()}
     assert all(cut[i] == texts[i] for i in clean) and cut[0] is None and len(cut[len(texts) - 1].split()) == 0
     assert decontaminate.annotate(docs, bench.where("item_id < 0")).where("_found.n_hit > 0").count() == 0
