@@ -325,10 +325,10 @@ def lists_of_large(lists: DataFrame, large: DataFrame) -> DataFrame:
 
 def blocks_of_longest(lists: DataFrame) -> DataFrame:
     """Each node in its longest list alone, in blocks that share three pivots."""
-    own = lists.groupBy("node").agg(F.max(F.struct("size", "h")).alias("x")).select("node", "x.h")
+    own = common.materialize(lists.groupBy("node").agg(F.max(F.struct("size", "h")).alias("x")).select("node", "x.h"), "longest")
     sizes = own.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("p0"), F.max("node").alias("p1"), F.min_by("node", F.xxhash64("node")).alias("p2"))
-    sizes = sizes.where("n > 1").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("long"))
-    members = own.join(sizes.select("h", "k"), "h").select("h", F.pmod(F.xxhash64("node", "h"), F.col("k")).alias("c"), "node")
+    sizes = common.materialize(sizes.where("n > 1").withColumn("k", F.ceil(F.col("n") / BLOCK).cast("long")), "list-sizes")
+    members = common.join_by_keys(own, sizes.select("h", "k"), "h", "inner").select("h", F.pmod(F.xxhash64("node", "h"), F.col("k")).alias("c"), "node")
     pivots = sizes.where("k > 1").select("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("c"), F.array("p0", "p1", "p2").alias("p")).select("h", "c", F.explode("p").alias("node"))
     return members.union(pivots).select("h", "c", F.lit(0).cast("long").alias("g"), "node", F.col("node").alias("label"), F.lit(True).alias("asks"))
 
@@ -336,12 +336,13 @@ def blocks_of_longest(lists: DataFrame) -> DataFrame:
 def blocks_of_rest(lists: DataFrame, found: DataFrame) -> DataFrame:
     """Lists that hold several components: members outside the largest ask all blocks."""
     labelled = lists.join(found, "node", "left").select("node", "h", F.coalesce("component", "node").alias("label"))
-    split = labelled.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("h")
-    rows = common.materialize(labelled.join(split, "h").select("node", "h", "label"), "unresolved")
+    labelled = common.materialize(labelled, "labelled")
+    split = common.materialize(labelled.groupBy("h").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a != b").select("h"), "split-lists")
+    rows = common.materialize(common.join_by_keys(labelled, split, "h", "left_semi").select("node", "h", "label"), "unresolved")
     share = rows.groupBy("h", "label").agg(F.count(F.lit(1)).alias("n"))
     facts = share.groupBy("h").agg(F.max(F.struct("n", "label")).alias("x"), F.sum("n").alias("n"))
     facts = facts.select("h", F.col("x.label").alias("major"), F.ceil(F.col("n") / BLOCK).cast("long").alias("k"), F.ceil((F.col("n") - F.col("x.n")) / BLOCK).cast("long").alias("m"))
-    rows = rows.join(facts, "h")
+    rows = common.join_by_keys(rows, common.materialize(facts, "list-facts"), "h", "inner")
     up_to = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     index = rows.select("h", F.pmod(F.xxhash64("node", "h"), F.col("k")).alias("c"), up_to("m").alias("g"), "node", "label", F.lit(False).alias("asks"))
     asking = rows.where("label != major").select("h", up_to("k").alias("c"), F.pmod(F.xxhash64("h", "node"), F.col("m")).alias("g"), "node", "label", F.lit(True).alias("asks"))
