@@ -103,5 +103,6 @@ def boolean_stats(freq: DataFrame, names: list[str]) -> DataFrame:
 
 
 def sample_exact(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:
-    """Exactly min(k, rows) rows, uniform by a seeded hash of a key; the same rows every time."""
-    return df.orderBy(F.xxhash64(F.lit(seed), col(key)), col(key)).limit(k)
+    """Exactly min(k, rows) rows, uniform by a seeded MD5 of a key; the same rows every time, in any engine."""
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(col(key).cast("string"), F.lit("null"))))
+    return df.orderBy(drawn, col(key)).limit(k)
