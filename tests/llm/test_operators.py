@@ -406,3 +406,41 @@ def test_line_passages_of_over_fifty_words(spark):
     docs = spark.createDataFrame([(i, f"{words(rng, 20)}\n{passage}\n{words(rng, 30)}") for i in range(6)], "doc_id long, text string")
     got = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup(docs).collect()}
     assert got == {0: 0, **{i: 1 for i in range(1, 6)}}
+
+
+def brute_runs(rows, least):
+    """As brute_lines, with lines weighed by their runs of anything but white space."""
+    lines = {i: t.split("\n") for i, t in rows}
+    first, out = {}, {i: set() for i in lines}
+    for i in sorted(lines):
+        own = lines[i]
+        for s in range(len(own)):
+            ends = [e for e in range(s + 1, len(own) + 1) if sum(len(x.split()) for x in own[s:e]) >= least]
+            if not ends:
+                continue
+            d, q = first.setdefault(tuple(own[s : ends[0]]), (i, s))
+            if (d, q) == (i, s):
+                continue
+            b = ends[0]
+            while b < len(own) and q + b - s < len(lines[d]) and own[b] == lines[d][q + b - s]:
+                b += 1
+            out[i] |= set(range(s, b))
+    return out
+
+
+def test_line_windows_hold_words_not_spaces(spark):
+    rng = random.Random(10)
+    tabbed = words(rng, 60).replace(" ", "\t")
+    spaced = "\n\n \n".join(words(rng, 1) for _ in range(50))
+    texts = [words(rng, 20) + "\n" + "\n".join(x) + "\n" + words(rng, 20) for x in ([" " * 24 + "}"] * 2, [" " * 49], [""] * 50) for _ in range(2)]
+    texts += [f"{words(rng, 9)}\n{tabbed}\n{words(rng, 9)}" for _ in range(2)] + [f"{words(rng, 9)}\n{spaced}\n{words(rng, 9)}" for _ in range(2)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup(messy(spark, texts)).collect()}
+    assert all(got[i]["text"] == texts[i] for i in (0, 1, 2, 3, 4, 5, 6, 8))
+    assert got[7]["n_removed"] == 1 and got[9]["n_removed"] == 148
+    pool = ["", "", " ", "\t", "    }", "\r"] + [words(rng, rng.choice([1, 2, 4, 9]), 60).replace(" ", rng.choice([" ", "\t", "   "])) for _ in range(7)] + [words(rng, 14)]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 30))) for _ in range(50)]
+    block = "\n".join(rng.choice(pool) for _ in range(40))
+    texts += [words(rng, 2) + "\n" * rng.randrange(30) + block + "\n" + words(rng, 2) for _ in range(8)]
+    want = brute_runs(list(enumerate(texts)), 10)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(messy(spark, texts), words=10).collect()}
+    assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in enumerate(texts)}
