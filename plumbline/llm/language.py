@@ -12,6 +12,9 @@ The tables behind the last two are grouped sums of the text posteriors over all
 records (a step before the shuffle, so a host with a third of all rows is one row
 per task); a record's own share is taken out of its host's sums. The text model is
 trained on at most ``SAMPLE`` labelled rows per language, taken by hash of the id.
+Every name in the training rows is a language, however many there are: the model
+takes 128 KB of the driver for each, and texts are scored ``BLOCK`` languages at a
+time, so no worker holds more than a block's table.
 
 A record is accepted when it has a letter and its best language reaches
 ``CONFIDENCE``; the pipeline drops the others.
@@ -40,6 +43,12 @@ TEMPER = 0.3
 KAPPA = 20.0
 CONFIDENCE = 0.5
 ALPHA = 0.2
+#: Languages scored at once.
+BLOCK = 256
+#: Languages summed as columns; arrays of more are exploded.
+WIDE = 64
+#: Values of P(declared | language) that may be broadcast.
+BROADCAST_VALUES = 1_000_000
 #: The only language where no row names one.
 UNKNOWN = "und"
 
@@ -74,42 +83,65 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     common.small_batches(docs.sparkSession)
     named = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.trim(F.col(f"`{lang_col}`"))).alias("lang")).where("id IS NOT NULL AND lang != ''")
-    counts = {r["lang"]: r["n"] for r in named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(200).collect()}
-    if not counts:
+    counts = common.materialize(named.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    if counts.isEmpty():
         return [UNKNOWN], np.zeros((BUCKETS, 1), dtype=np.float32)
     # A hash threshold by language leaves a little more than the sample, whatever the language's size.
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.5 * sample / n + 50 / n))])
+    share = F.least(F.lit(1.0), F.lit(1.5 * sample) / F.col("n") + F.lit(50.0) / F.col("n"))
     place = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = named.where(place < share[F.col("lang")]).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("place") <= sample)
+    drawn = common.join_by_keys(named, counts, "lang", "inner").where(place < share).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("place") <= sample)
     drawn = common.materialize(drawn.select(F.col("id").alias("_pl_id"), "lang").distinct(), "language-sample")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(drawn), F.col("id") == F.col("_pl_id")).select("lang", "text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(drawn) if drawn.count() <= common.BROADCAST_ROWS else drawn, F.col("id") == F.col("_pl_id")).select("lang", "text")
+
+    def flush(sums):
+        at = [np.flatnonzero(v) for v in sums.values()]
+        found = [v[i].astype(np.int64).tobytes() for v, i in zip(sums.values(), at)]
+        return pa.RecordBatch.from_arrays([pa.array(sums, pa.string()), pa.array([i.astype(np.int64).tobytes() for i in at], pa.binary()), pa.array(found, pa.binary())], names=["lang", "buckets", "counts"])
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             data, offsets = textscan.buffers(batch.column(1))
-            langs = batch.column(0).to_pylist()
+            langs = np.array(batch.column(0).to_pylist())
             bucket, owner, _ = grams(data, offsets)
-            for lang in set(langs):
-                mask = np.array([x == lang for x in langs])[owner]
-                sums[lang] = sums.get(lang, 0) + np.bincount(bucket[mask], minlength=BUCKETS)
+            for lang in set(langs.tolist()):
+                sums[lang] = sums.get(lang, 0) + np.bincount(bucket[(langs == lang)[owner]], minlength=BUCKETS)
+                if len(sums) >= BLOCK:
+                    yield flush(sums)
+                    sums = {}
         if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(sums), pa.array([v.astype(np.int64).tobytes() for v in sums.values()], pa.binary())], names=["lang", "counts"])
+            yield flush(sums)
 
     totals: dict[str, np.ndarray] = {}
-    for row in texts.mapInArrow(run, "lang string, counts binary").toLocalIterator():
-        totals[row["lang"]] = totals.get(row["lang"], 0) + np.frombuffer(row["counts"], np.int64)
+    for row in texts.mapInArrow(run, "lang string, buckets binary, counts binary").toLocalIterator():
+        # Counts of a sample: 32 bits are enough in the table of all languages.
+        own = totals.setdefault(row["lang"], np.zeros(BUCKETS, np.uint32))
+        own[np.frombuffer(row["buckets"], np.int64)] += np.frombuffer(row["counts"], np.int64).astype(np.uint32)
     langs = sorted(totals)
-    table = np.stack([totals[x] + ALPHA for x in langs])
-    return langs, np.log(table / table.sum(axis=1, keepdims=True)).T.astype(np.float32)
+    table = np.empty((BUCKETS, len(langs)), np.float32, order="F")
+    for k, lang in enumerate(langs):
+        own = totals.pop(lang) + ALPHA
+        table[:, k] = np.log(own / own.sum())
+    return langs, table
 
 
 def text_evidence(records: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
     """records (..., text) with letters and ll (tempered log likelihoods by language), without text."""
-    langs, table = model
+    table = model[1]
+    found = score_block(records, table[:, :BLOCK], table.shape[1] > BLOCK)
+    for a in range(BLOCK, table.shape[1], BLOCK):
+        # Blocks are written apart, so that a worker has one table at a time.
+        before = common.materialize(found.withColumnRenamed("ll", "_pl_ll").drop("letters"), "evidence-block")
+        found = score_block(before, table[:, a : a + BLOCK], a + BLOCK < table.shape[1])
+        found = found.withColumn("ll", F.concat("_pl_ll", "ll")).drop("_pl_ll")
+    return found
+
+
+def score_block(records: DataFrame, table: np.ndarray, keep_text: bool) -> DataFrame:
+    """records (..., text) with letters and ll by the table's languages, with or without text."""
     shared = records.sparkSession.sparkContext.broadcast(table)
     common.small_batches(records.sparkSession)
-    names = [c for c in records.columns if c != "text"]
+    names = [c for c in records.columns if keep_text or c != "text"]
     at = records.columns.index("text")
 
     def run(batches):
@@ -124,17 +156,45 @@ def text_evidence(records: DataFrame, model: tuple[list[str], np.ndarray]) -> Da
                 letters.append(found)
             ll = np.concatenate([np.zeros((0, known.shape[1])), *ll])
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ll) + 1) * known.shape[1], pa.int32()), pa.array(ll.ravel()))
-            rest = [c for i, c in enumerate(batch.columns) if i != at]
+            rest = [c for i, c in enumerate(batch.columns) if keep_text or i != at]
             yield pa.RecordBatch.from_arrays([*rest, pa.array(np.concatenate([np.zeros(0, np.int64), *letters])), lists], names=[*names, "letters", "ll"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields if f.name != "text")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in records.schema.fields if f.name in names)
     return records.mapInArrow(run, f"{fields}, letters long, ll array<double>")
 
 
+def let(x: Column, f) -> Column:
+    """f(x) with x worked out once, not for each element of what f gives."""
+    return F.transform(F.array(x), f)[0]
+
+
+def total(x: Column) -> Column:
+    return F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+
+
 def softmax(x: Column) -> Column:
-    powers = F.transform(x, lambda v: F.exp(v - F.array_max(x)))
-    total = F.aggregate(powers, F.lit(0.0), lambda a, v: a + v)
-    return F.transform(powers, lambda v: v / total)
+    shares = lambda powers: let(total(powers), lambda t: F.transform(powers, lambda v: v / t))
+    return let(x, lambda y: let(F.array_max(y), lambda top: let(F.transform(y, lambda v: F.exp(v - top)), shares)))
+
+
+def smooth(own: Column, up: Column) -> Column:
+    return let(own, lambda o: let(total(o), lambda t: F.zip_with(o, up, lambda x, q: (x + F.lit(KAPPA) * q) / (t + F.lit(KAPPA)))))
+
+
+def numbers(values) -> Column:
+    """An array as one literal."""
+    return F.split(F.lit(" ".join(repr(float(v)) for v in values)), " ").cast("array<double>")
+
+
+def sums(rows: DataFrame, keys: list[str], values: str, n: int) -> DataFrame:
+    """(keys..., own): arrays of n values summed by place; nulls count as zeros."""
+    if n <= WIDE:
+        each = [F.coalesce(F.sum(F.col(values)[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]
+        return rows.groupBy(*keys).agg(*each).select(*keys, F.array(*[f"s{i}" for i in range(n)]).alias("own"))
+    placed = rows.select(*keys, F.posexplode_outer(values).alias("_i", "_v")).groupBy(*keys, "_i").agg(F.sum("_v").alias("_v"))
+    whole = placed.groupBy(*keys).agg(F.sort_array(F.collect_list(F.when(F.col("_i").isNotNull(), F.struct("_i", "_v")))).alias("_all"))
+    own = F.when(F.size("_all") == 0, F.array_repeat(F.lit(0.0), n)).otherwise(F.transform("_all", lambda x: x["_v"]))
+    return whole.select(*keys, own.alias("own"))
 
 
 def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
@@ -146,31 +206,24 @@ def fuse(evidence: DataFrame, langs: list[str]) -> DataFrame:
     p = F.when(F.col("letters") > 0, softmax(F.col("ll")))
     said = F.when(F.col("declared").isNull(), F.lit("")).when(F.col("declared").isin(langs), F.col("declared")).otherwise(F.lit("other"))
     rows = evidence.withColumn("p", p).withColumn("said", said).withColumn("_h", F.coalesce("host", F.lit(""))).withColumn("_s", F.coalesce("suffix", F.lit("")))
-    each = [F.coalesce(F.sum(F.col("p")[i]), F.lit(0.0)).alias(f"s{i}") for i in range(n)]
-    array = F.array(*[f"s{i}" for i in range(n)])
-    hosts = common.materialize(rows.groupBy("_h", "_s").agg(*each), "hosts")
-    suffixes = hosts.groupBy("_s").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(n)])
-    overall = hosts.agg(*[F.coalesce(F.sum(f"s{i}"), F.lit(0.0)) for i in range(n)]).first()
-    root = np.array(list(overall)) + 1.0
-    root = root / root.sum()
-    base = F.array(*[F.lit(float(x)) for x in root])
-    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
-    smooth = lambda own, up: F.zip_with(own, up, lambda x, q: (x + F.lit(KAPPA) * q) / (total(own) + F.lit(KAPPA)))
-    suffixes = suffixes.select("_s", smooth(array, base).alias("up"))
-    priors = common.materialize(hosts.select("_h", "_s", array.alias("own")).join(suffixes, "_s"), "priors")
+    hosts = common.materialize(sums(rows, ["_h", "_s"], "p", n), "hosts")
+    root = np.array(sums(hosts, [], "own", n).first()["own"]) + 1.0
+    base = numbers(root / root.sum())
+    suffixes = sums(hosts, ["_s"], "own", n).select("_s", smooth(F.col("own"), base).alias("up"))
+    priors = common.materialize(hosts.join(suffixes, "_s").select("_h", "_s", "own", "up"), "priors")
     # At most a row for each language and two more: a table of P(declared | language).
-    told = {r["said"]: [r[f"s{i}"] for i in range(n)] for r in rows.groupBy("said").agg(*each).collect()}
-    counts = np.array([told[k] for k in told]).reshape(len(told), n) + 0.5
-    counts = counts / counts.sum(axis=0)
-    heard = F.create_map(*[F.lit(x) if isinstance(x, str) else x for k, c in zip(told, counts) for x in (k, F.array(*[F.lit(float(np.log(v))) for v in c]))]) if told else None
-    joined = rows.join(priors, ["_h", "_s"])
+    told = common.materialize(sums(rows, ["said"], "p", n), "told")
+    kinds = told.count()
+    by_lang = numbers(np.array(sums(told, [], "own", n).first()["own"]) + 0.5 * kinds)
+    heard = told.select("said", F.zip_with("own", by_lang, lambda x, t: F.log((x + 0.5) / t)).alias("_heard"))
+    joined = rows.join(priors, ["_h", "_s"]).join(F.broadcast(heard) if kinds * n <= BROADCAST_VALUES else heard, "said")
     own = F.when(F.col("p").isNull(), F.col("own")).otherwise(F.zip_with("own", "p", lambda x, q: F.greatest(x - q, F.lit(0.0))))
     joined = joined.withColumn("_own", own).withColumn("_prior", smooth(F.col("_own"), F.col("up")))
-    weight = F.zip_with(F.zip_with("ll", "_prior", lambda x, q: x + F.log(q)), heard[F.col("said")] if heard is not None else F.col("ll"), lambda x, q: x + q)
+    weight = F.zip_with(F.zip_with("ll", "_prior", lambda x, q: x + F.log(q)), "_heard", lambda x, q: x + q)
     scored = joined.withColumn("_post", softmax(weight)).withColumn("confidence", F.array_max("_post"))
     named = F.element_at(F.array(*[F.lit(x) for x in langs]), F.array_position("_post", F.col("confidence")).cast("int"))
     accepted = (F.col("letters") > 0) & (F.col("confidence") >= CONFIDENCE)
-    return scored.withColumn("lang", named).withColumn("accepted", accepted).drop("p", "said", "_h", "_s", "own", "up", "_own", "_prior", "_post", "ll")
+    return scored.withColumn("lang", named).withColumn("accepted", accepted).drop("p", "said", "_h", "_s", "own", "up", "_own", "_prior", "_post", "_heard", "ll")
 
 
 def page_records(pages: DataFrame) -> DataFrame:

@@ -444,3 +444,18 @@ def test_line_windows_hold_words_not_spaces(spark):
     want = brute_runs(list(enumerate(texts)), 10)
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup(messy(spark, texts), words=10).collect()}
     assert got == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want[i]) for i, t in enumerate(texts)}
+
+
+def test_language_model_has_every_language(spark, monkeypatch):
+    rng = random.Random(13)
+    kinds = {f"l{k}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(12)] for k in range(230)}
+    rows = [(2 * k + i, " ".join(rng.choice(v) for _ in range(30)), lang, "h") for k, (lang, v) in enumerate(kinds.items()) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    model = language.train(docs)
+    assert model[0] == sorted(kinds)
+    records = language.document_records(docs).withColumn("declared", F.when(F.col("doc_id") % 2 == 0, F.col("declared")))
+    whole = {r["doc_id"]: r for r in language.identify(records, model).collect()}
+    assert all(whole[r[0]]["lang"] == r[2] and whole[r[0]]["accepted"] for r in rows)
+    monkeypatch.setattr(language, "BLOCK", 100)
+    again = {r["doc_id"]: r for r in language.identify(records, model).collect()}
+    assert all(again[i]["lang"] == r["lang"] and abs(again[i]["confidence"] - r["confidence"]) < 1e-9 for i, r in whole.items())
