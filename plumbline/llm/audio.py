@@ -16,8 +16,8 @@ zero-padded) with the time span each covers; ``tensor_batches`` gives them as
 Arrow fixed-shape tensors. A file is worked off in blocks, so memory doesn't grow
 with its length beyond the samples themselves.
 
-Defined cases: null and empty texts are 64 zero bytes; a file shorter than a frame
-is zero-padded to one; equal texts give equal values; repeated rows are kept; an
+Defined cases: null and empty texts are 64 zero bytes; the last frame is filled up
+with zeros, so every sample lies in one and the last span may end after the file; equal texts give equal values; repeated rows are kept; an
 empty table gives no rows; further columns are ignored.
 """
 
@@ -113,8 +113,7 @@ def resample(x: np.ndarray) -> np.ndarray:
 def analyse(samples: bytes):
     """(log-mel rows as bytes, segments as (first frame, last frame + 1))."""
     x = resample(np.frombuffer(samples, np.uint8) - 128.0)
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    x = np.pad(x, (0, FRAME + max(0, -(-(len(x) - FRAME) // HOP)) * HOP - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     mel, energy = np.empty((len(frames), MELS), np.uint8), np.empty(len(frames))
     for a in range(0, len(frames), 512):

@@ -459,3 +459,14 @@ def test_language_model_has_every_language(spark, monkeypatch):
     monkeypatch.setattr(language, "BLOCK", 100)
     again = {r["doc_id"]: r for r in language.identify(records, model).collect()}
     assert all(again[i]["lang"] == r["lang"] and abs(again[i]["confidence"] - r["confidence"]) < 1e-9 for i, r in whole.items())
+
+
+def test_audio_frames_cover_the_end():
+    rng = random.Random(14)
+    for n in range(64, 3000, 64):
+        data = rng.randbytes(n)
+        other = data[:-48] + rng.randbytes(48)
+        one, two = audio.describe(audio.to_wav(data)), audio.describe(audio.to_wav(other))
+        samples = -(-n * 5 // 8)
+        assert one[5] == two[5] and (one[5] - 1) * audio.HOP + audio.FRAME >= samples > (one[5] - 2) * audio.HOP + audio.FRAME * (one[5] > 1)
+        assert one[6] != two[6] and one[6][-1]["end_ms"] >= round(samples * 1000 / audio.NEW_RATE, 3)
