@@ -32,8 +32,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token records of all that is left, as read back."""
-    return token_records.encode_and_read_back(docs)
+    """Token records of all that is left, in the order the mixing left, as read back."""
+    return token_records.encode_and_read_back(docs, order=[])
 
 
 STAGES = [

@@ -1,6 +1,7 @@
 """Token ids as length-delimited binary records with a separate offset index.
 
-Documents are range-partitioned and sorted by id; each task encodes its texts and
+Documents are range-partitioned and sorted by id, or by other columns, or left in
+the order they come in (the pipeline's, which is shuffled); each task encodes its texts and
 appends one frame per document to shard files of about ``SHARD_BYTES``::
 
     u64 length | u32 masked crc32(length) | payload | u32 masked crc32(payload)
@@ -203,15 +204,20 @@ def _store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write shards below path/data and the index to path/index; returns the index."""
+def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", order: list[str] | None = None) -> DataFrame:
+    """Write shards below path/data and the index to path/index; returns the index.
+
+    order names the columns to sort by, the id if None; an empty list keeps docs' partitions and their order.
+    """
     spark = docs.sparkSession
     common.small_batches(spark)
-    # Ties of an id are dealt by text and place, so that one id's rows aren't one task.
-    keyed = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    keyed = keyed.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
-    order = ["doc_id", "tie", "place"]
-    sorted_docs = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    by = [F.col(f"`{c}`").alias(f"by{i}") for i, c in enumerate(order or [])]
+    sorted_docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *by)
+    if order is None or by:
+        # Ties are dealt by text and place, so that one id's rows aren't one task.
+        keyed = sorted_docs.withColumn("tie", F.xxhash64("text")).withColumn("place", F.monotonically_increasing_id())
+        keys = [*(["doc_id"] if order is None else [f"by{i}" for i in range(len(by))]), "tie", "place"]
+        sorted_docs = keyed.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -303,12 +309,12 @@ def with_starts(found: DataFrame) -> DataFrame:
     return joined.select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def encode_and_read_back(docs: DataFrame, tokenizer_file: str | None = None) -> DataFrame:
+def encode_and_read_back(docs: DataFrame, tokenizer_file: str | None = None, order: list[str] | None = None) -> DataFrame:
     """Write docs as records in the shared folder and describe what is read back."""
     import public_tokenizers
 
     path = common.shared_dir(docs.sparkSession, "token-records")
-    index = write_records(docs, path, tokenizer_file or public_tokenizers.path(TOKENIZER))
+    index = write_records(docs, path, tokenizer_file or public_tokenizers.path(TOKENIZER), order=order)
     return with_starts(common.materialize(digests(read_records(index, path)), "token-digests"))
 
 

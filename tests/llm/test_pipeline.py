@@ -7,7 +7,7 @@ import pytest
 pytest.importorskip("plumbline.llm.common")
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
-from plumbline.llm import queries  # noqa: E402
+from plumbline.llm import common, mixing, queries, token_records  # noqa: E402
 from tests.llm.test_operators import brute_components, brute_hits, words  # noqa: E402
 
 
@@ -49,3 +49,14 @@ def test_pipeline(spark, tmp_path):
         assert (r["start"], r["n_tokens"]) == (at, n)
         at += n
     assert len(kept["token_output"]) == len(kept["source_mixing"])
+
+
+def test_token_output_keeps_the_shuffled_order(spark):
+    rng = random.Random(15)
+    docs = spark.createDataFrame([(i, words(rng, 5), "en", "s", 0) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long")
+    mixed = common.materialize(mixing.mix(docs, target_rows=1000).select(*docs.columns), "mixed")
+    got = [r["doc_id"] for r in corpus_pipeline.token_output(spark, mixed, "").orderBy("start").collect()]
+    assert sorted(got) == sorted(r["doc_id"] for r in mixed.collect())
+    assert sum(a == b for a, b in zip(got, got[1:])) < len(got) / 10 and sum(a < b for a, b in zip(got, got[1:])) < len(got) * 0.6
+    by_text = token_records.encode_and_read_back(docs, order=["text"]).orderBy("start").collect()
+    assert [r["doc_id"] for r in by_text] == [r["doc_id"] for r in docs.orderBy("text").collect()]
