@@ -1,4 +1,4 @@
-"""Shared plumbing: working folders every executor can reach, tables and ids.
+"""Shared plumbing: tables, keys, and what may be broadcast.
 
 Nothing here keeps state outside the session's shared folder. Intermediate
 tables are Parquet written below ``spark.checkpoint.dir``; a task that is lost
@@ -8,38 +8,20 @@ is computed again from those files or from the inputs.
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions.storage import materialize, release, shared_path
 
 #: The folder that holds this package.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-#: Rows of a key table that may be broadcast; a long each, so 16 MB at most.
-BROADCAST_ROWS = 1_000_000
-#: Rows that Spark hands to Python at once; a row may hold a long text.
+#: What a table that is broadcast may take in memory.
+BROADCAST_BYTES = 64 << 20
+#: Rows that Spark hands to Python at once, and their bytes; a row may hold a long text.
 ARROW_ROWS = 500
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's path below the cluster's checkpoint folder.
-
-    Only where the session names none (tests) a local one is made and set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
-    """Write df to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+ARROW_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,14 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bound what one Arrow batch of whole texts can take in a Python worker.
+    """Bound what one Arrow batch of whole texts can take in a Python worker, by rows and by bytes.
 
-    Workers must also find this package where the driver did.
+    These are settings of the session and stay, as a frame is run after this
+    returns. Workers must also find this package where the driver did.
     """
     paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -65,10 +49,28 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def join_by_keys(df: DataFrame, keys: DataFrame, on: str, how: str, limit: int = BROADCAST_ROWS) -> DataFrame:
+def memory_bytes(df: DataFrame) -> int:
+    """What a written table takes in a broadcast: 16 bytes for each value and each row, and its texts' bytes."""
+    values = sum(len(f.dataType.fields) if isinstance(f.dataType, T.StructType) else 1 for f in df.schema.fields)
+    long = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    lists = [F.col(f"`{f.name}`") for f in df.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    sizes = [F.sum(F.octet_length(c).cast("long")) for c in long] + [F.sum(F.size(c).cast("long") * 32) for c in lists]
+    found = df.agg(F.count(F.lit(1)), *sizes).first()
+    return found[0] * 16 * (values + 1) + sum(x or 0 for x in found[1:])
+
+
+def is_small(df: DataFrame, limit: int | None = None) -> bool:
+    return memory_bytes(df) <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def join_by_keys(df: DataFrame, keys: DataFrame, on, how: str, limit: int | None = None) -> DataFrame:
     """Join with a written table of keys or of a row per key.
 
-    The keys are counted first: up to ``limit`` they are broadcast, so the wide
-    side doesn't move; beyond it both sides are shuffled.
+    Its size is taken first: up to ``limit`` bytes it is broadcast, so the wide
+    side doesn't move; beyond it both sides are shuffled, and as neither is an
+    aggregate by the same key, adaptive execution can split a hot one.
     """
-    return df.join(F.broadcast(keys) if keys.count() <= limit else keys.hint("merge"), on, how)
+    return df.join(F.broadcast(keys) if is_small(keys, limit) else keys.hint("merge"), on, how)
+
+
+__all__ = ["BROADCAST_BYTES", "ROOT", "free_name", "is_small", "join_by_keys", "materialize", "memory_bytes", "release", "shared_path", "small_batches", "table"]

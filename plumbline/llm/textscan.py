@@ -10,12 +10,9 @@ import numpy as np
 import pyarrow as pa
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-WORD_BASE = 0xD6E8FEB86659FD93
 #: Bytes scanned at once; a doc is never cut, so one doc may exceed it.
 SLICE_BYTES = 1 << 21
 
-_powers = np.ones(1, dtype=np.uint64)
-
 
 def byte_table(is_word) -> np.ndarray:
     """256 entries: the folded byte, or 0 for a byte outside words."""
@@ -34,14 +31,6 @@ SPACED[0] = 255  # a NUL is part of a word; 255 occurs nowhere in UTF-8
 ALNUM = byte_table(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
 
-def powers(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        size = max(n, 256, 2 * len(_powers))
-        _powers = np.concatenate(([np.uint64(1)], np.cumprod(np.full(size - 1, WORD_BASE, dtype=np.uint64))))
-    return _powers[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser, so sums of products become well spread hashes."""
     x = x ^ (x >> np.uint64(30))
@@ -99,18 +88,55 @@ def words(data: np.ndarray, offsets: np.ndarray, classes: np.ndarray):
     return start, end, doc, folded
 
 
-def word_hashes(folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word's folded bytes."""
-    if not len(start):
-        return np.zeros(0, np.uint64)
+def scattered(code: np.ndarray, key: int) -> np.ndarray:
+    """A pseudo-random number of each (place << 8 | byte), one set of numbers by key."""
+    return mix(mix(code.astype(np.uint64) * MULTIPLIER + np.uint64(key)) + MULTIPLIER)
+
+
+#: Bytes of a word whose numbers are looked up; those of later bytes are worked out.
+_NEAR = 64
+_tables: dict[int, np.ndarray] = {}
+
+
+def _codes(folded: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """(place << 8 | byte of every byte of words, first byte of each word, its length)."""
     length = end - start
     first = np.cumsum(length) - length
     within = np.arange(int(length.sum()), dtype=np.int64) - np.repeat(first, length)
-    table = powers(int(length.max()))
-    value = (folded[folded != 0].astype(np.uint64) + np.uint64(1)) * table[within]
+    return within << 8 | folded[folded != 0], first, length
+
+
+def _hash(code: np.ndarray, first: np.ndarray, length: np.ndarray, key: int) -> np.ndarray:
+    if key not in _tables:
+        _tables[key] = scattered(np.arange(_NEAR << 8), key)
+    table = _tables[key]
+    if int(length.max()) <= _NEAR:
+        value = table[code]
+    else:
+        near = code < len(table)
+        value = np.empty(len(code), np.uint64)
+        value[near] = table[code[near]]
+        value[~near] = scattered(code[~near], key)
     return mix(np.add.reduceat(value, first) + length.astype(np.uint64) * MULTIPLIER)
 
 
+def word_hashes(folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word's folded bytes; folded holds no others but zeros.
+
+    It is the sum of a pseudo-random number for every (place, byte), so, unlike a
+    polynomial in an odd base, it has no words that collide by their structure.
+    """
+    return _hash(*_codes(folded, start, end), 0) if len(start) else np.zeros(0, np.uint64)
+
+
+def word_digests(folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each word's folded bytes."""
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    codes = _codes(folded, start, end)
+    return _hash(*codes, 1), _hash(*codes, 2)
+
+
 def window_hashes(word: np.ndarray, k: int) -> np.ndarray:
     """Hash of each k consecutive words; entry i starts at word i (n - k + 1 entries)."""
     n = len(word) - k + 1

@@ -8,13 +8,16 @@
 
 Of records with equal payloads of at least ``min_bytes`` bytes the one with the
 largest page_id is a response and the others are revisits that refer to it; all
-smaller ones are responses. ``read_archive`` joins headers with payloads, checks
-each payload against its key, and parses the headers; ``reconstruct`` gives the
-records' original bytes.
+smaller ones are responses. ``reconstruct`` joins headers with payloads, each
+checked against its key, into the records' original bytes; ``read_archive`` parses
+those bytes, and raises where a record's length or payload digest isn't what its
+header says.
 
 Payloads are grouped by key with a first step before the shuffle, so a payload
-that a third of all pages share is one row per task; what the pages share is
-joined by key without the payload, where adaptive execution splits a hot key.
+that a third of all pages share is one row per task. The page chosen for each key
+is written before it is joined back, so a hot key's pages stay where they are or,
+beyond what is broadcast, are split by adaptive execution; only responses are
+given their payload.
 
 Defined cases: a null html is an empty payload; a null url is written as
 urn:x-page:<id>, and control characters in urls are percent-encoded; a null
@@ -73,47 +76,71 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> No
     keyed = pages.withColumn("key", F.unhex(F.sha2("payload", 256)))
     light = keyed.select("page_id", "url", "key", F.octet_length("payload").cast("long").alias("n_bytes"), base32_of_hex(F.sha1("payload")).alias("digest"))
     light = common.materialize(light, "page-digests")
-    chosen = light.groupBy("key").agg(F.max("page_id").alias("chosen"))
+    chosen = common.materialize(light.groupBy("key").agg(F.max("page_id").alias("chosen")), "chosen-pages")
     kind = F.when((F.col("n_bytes") >= min_bytes) & F.col("chosen").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("chosen")), "revisit").otherwise("response")
-    headers = light.join(chosen, "key").select("key", (kind == "response").alias("has_payload"), _header(kind).cast("binary").alias("header"))
+    headers = common.join_by_keys(light, chosen, "key", "inner").select("key", (kind == "response").alias("has_payload"), _header(kind).cast("binary").alias("header"))
     headers.write.option("compression", "zstd").parquet(f"{path}/headers")
+    common.release(light, chosen)
     keyed.groupBy("key").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/payloads")
 
 
-def _payloads(spark: SparkSession, path: str) -> DataFrame:
-    """The stored payloads, each checked against its key."""
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """(record, stored_bytes, stored_digest): every record's bytes, rebuilt by the join, and what its payload is."""
     stored = spark.read.schema("key binary, payload binary").parquet(f"{path}/payloads")
     right = F.unhex(F.sha2("payload", 256)) == F.col("key")
-    return stored.select("key", F.when(right, F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("binary")).alias("payload"))
+    payload = F.when(right, F.col("payload")).otherwise(F.raise_error(F.lit("a payload differs from its digest")).cast("binary"))
+    stored = stored.select("key", payload.alias("payload")).select("key", "payload", F.octet_length("payload").cast("long").alias("stored_bytes"), base32_of_hex(F.sha1("payload")).alias("stored_digest"))
+    headers = spark.read.schema("key binary, has_payload boolean, header binary").parquet(f"{path}/headers")
+    end = F.lit(CRLF * 2).cast("binary")
+    record = F.when(F.col("has_payload"), F.concat("header", "payload", end)).otherwise(F.concat("header", end))
+    return headers.join(stored, "key").select(record.alias("record"), "stored_bytes", "stored_digest")
 
 
-def _headers(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema("key binary, has_payload boolean, header binary").parquet(f"{path}/headers")
+def _head(block: Column) -> Column:
+    """What stands before the first empty line of some bytes, as text."""
+    return F.substring_index(block.cast("string"), CRLF * 2, 1)
 
 
-def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, all from what is stored."""
-    facts = _payloads(spark, path).select("key", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
-    text = F.col("header").cast("string")
-    field = lambda name, pattern: F.regexp_extract(text, rf"\r\n{name}: {pattern}\r\n", 1)
-    number = lambda name: F.expr(f"try_cast({name} AS bigint)")
-    parsed = _headers(spark, path).select("key", field("WARC-Record-ID", "<urn:x-page:([^>]*)>").alias("own"), field("WARC-Refers-To", "<urn:x-page:([^>]*)>").alias("refers"), field("WARC-Type", "(\\w+)").alias("record_type"), field("WARC-Target-URI", "([^\r]*)").alias("url"))
-    joined = parsed.join(facts, "key")
-    return joined.select(number("own").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers").alias("refers_to"), "url")
+def _field(head: Column, name: str, pattern: str) -> Column:
+    return F.regexp_extract(F.concat(head, F.lit(CRLF)), rf"\r\n{name}: {pattern}\r\n", 1)
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """(page_id, record): the original bytes of every record."""
-    headers = _headers(spark, path)
-    own = F.expr(r"try_cast(regexp_extract(cast(header AS string), 'WARC-Record-ID: <urn:x-page:([^>]*)>', 1) AS bigint)")
-    end = F.lit(CRLF * 2).cast("binary")
-    full = headers.where("has_payload").join(_payloads(spark, path), "key").select(own.alias("page_id"), F.concat("header", "payload", end).alias("record"))
-    return full.union(headers.where("NOT has_payload").select(own.alias("page_id"), F.concat("header", end).alias("record")))
+    own = F.expr("try_cast(own AS bigint)").alias("page_id")
+    return _records(spark, path).select(_field(_head(F.col("record")), "WARC-Record-ID", "<urn:x-page:([^>]*)>").alias("own"), "record").select(own, "record")
+
+
+def read_archive(spark: SparkSession, path: str) -> DataFrame:
+    """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to, url, parsed from the rebuilt record.
+
+    A revisit has no payload of its own; its size is that of the payload it names.
+    """
+    number = lambda name: F.expr(f"try_cast({name} AS bigint)")
+    split = _records(spark, path).withColumn("head", _head(F.col("record"))).withColumn("type", _field(F.col("head"), "WARC-Type", r"(\w+)"))
+    # A record is its header, an empty line, as many bytes as the header says, and two line ends.
+    start, size = F.octet_length("head") + 4, F.octet_length("record")
+    block = split.withColumn("length", size - start - 4).withColumn("block", F.when(F.col("type") == "response", F.expr("substring(record, octet_length(head) + 5, octet_length(record) - octet_length(head) - 8)")))
+    http = block.withColumn("http", _head(F.col("block")))
+    payload = http.withColumn("payload", F.expr("substring(block, octet_length(http) + 5)"))
+    known = payload.select(
+        "head", "type", "length",
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("stored_bytes")).alias("payload_bytes"),
+        F.coalesce(base32_of_hex(F.sha1("payload")), F.col("stored_digest")).alias("payload_digest"),
+        F.when(F.col("payload").isNotNull(), _field(F.col("http"), "Content-Length", r"(\d+)").cast("long")).alias("http_length"),
+    )
+    told = known.select(
+        "*", _field(F.col("head"), "WARC-Record-ID", "<urn:x-page:([^>]*)>").alias("own"), _field(F.col("head"), "WARC-Refers-To", "<urn:x-page:([^>]*)>").alias("refers"),
+        _field(F.col("head"), "WARC-Target-URI", "([^\r]*)").alias("url"), _field(F.col("head"), "WARC-Payload-Digest", "sha1:(\\w+)").alias("told_digest"), _field(F.col("head"), "Content-Length", "(\\d+)").cast("long").alias("told_length"),
+    )
+    sound = (F.col("told_length") == F.col("length")) & (F.col("told_digest") == F.col("payload_digest")) & F.coalesce(F.col("http_length") == F.col("payload_bytes"), F.lit(True))
+    digest = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a record differs from its header")).cast("string"))
+    return told.select(number("own").alias("page_id"), "payload_bytes", digest.alias("payload_digest"), F.col("type").alias("record_type"), number("refers").alias("refers_to"), "url")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All of pages, written and read back."""
-    path = common.shared_dir(spark, "archive")
+    path = common.shared_path(spark, "archive")
     write_archive(common.table(spark, sf_dir, "pages"), path)
     return read_archive(spark, path).drop("url")
 
