@@ -6,15 +6,19 @@ folded. A window is ``n`` consecutive words of an item; an item with fewer words
 hashes are probed in a bitmap, then in the sorted set, and every hit is verified
 by comparing the words themselves, so a hash collision changes nothing.
 
-The windows are built on the driver from at most ``part_bytes`` of benchmark
-text at a time. A larger benchmark is split by hash of the item into parts, each
-broadcast by itself in a further pass over the documents, so any benchmark size
-gives the same result with the same memory.
+The windows are built on the driver from at most about ``part_bytes`` of benchmark
+text at a time, as arrays of 20 bytes a window (there is at most one for each two
+bytes of text) beside the text. A larger benchmark is split by hash of the item
+into parts. Each is broadcast by itself and scans the texts alone; what it finds,
+hit runs and items by a 128-bit hash of the text, is written, and joined to the
+documents once all parts are done. So any benchmark size gives the same result
+with the same memory, and documents are never rewritten. An item is never split.
 
 Defined cases: null or wordless text has no words and no hits; an item without
 words has no windows; an item whose id is null marks hits but is not listed;
-repeated items and repeated documents count on their own; an empty benchmark or
-document table gives no hits or no rows. Further columns pass through untouched.
+repeated items and repeated documents count on their own; a very long text is
+scanned whole, by itself; an empty benchmark or document table gives no hits or no
+rows. Further columns pass through untouched; ``out_col`` must be a new name.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ from pyspark.sql import types as T
 from . import common, textscan
 
 WINDOW = 10
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 BITMAP = 1 << 22
 
 FOUND = T.StructType([
@@ -39,6 +43,8 @@ FOUND = T.StructType([
     T.StructField("items", T.ArrayType(T.StringType())),
     T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
 ])
+#: What a part finds in a text: runs of hit words, by word and by byte, and the items.
+HITS = "text string, items array<string>, runs array<struct<first: long, last: long, start: long, end: long>>"
 ARROW_FOUND = pa.struct([
     ("n_words", pa.int64()),
     ("n_hit", pa.int64()),
@@ -48,61 +54,81 @@ ARROW_FOUND = pa.struct([
 
 
 class Windows:
-    """The windows of some benchmark items, by length and hash."""
+    """The windows of some benchmark items as arrays, by length and sorted by hash.
+
+    Words are kept once, in ``blob`` with a space after each; a window is its hash,
+    its item and its first word. Windows of one hash stand together and mostly are
+    one text, which then is compared once for all of them (``alike``).
+    """
 
     def __init__(self, ids: list[str | None], texts: list[str | None], n: int = WINDOW):
         self.ids = ids
-        self.bitmap = np.zeros(BITMAP, dtype=bool)
-        known: dict[int, dict[int, list]] = {}
         data, offsets = textscan.buffers(pa.array(texts, pa.string()))
         start, end, doc, folded = textscan.words(data, offsets, textscan.ALNUM)
         word = textscan.word_hashes(folded, start, end)
-        first = np.searchsorted(doc, np.arange(len(texts) + 1))
-        for i in range(len(texts)):
-            a, b = int(first[i]), int(first[i + 1])
-            size = min(n, b - a)
-            if not size:
+        many = np.bincount(doc, minlength=len(texts)) if len(doc) else np.zeros(len(texts), np.int64)
+        first = np.cumsum(many) - many
+        self.blob, self.word = _joined(folded, start, end)
+        self.bitmap, self.by_size = np.zeros(BITMAP, dtype=bool), {}
+        for size in np.unique(np.minimum(many, n)).tolist():
+            own = many >= n if size == n else many == size
+            if not size or not own.any():
                 continue
-            for j, h in enumerate(textscan.window_hashes(word[a:b], size).tolist()):
-                found = known.setdefault(size, {}).setdefault(h, [])
-                text = window_text(folded, start, end, a + j, size)
-                for other, items in found:
-                    if other == text:
-                        items.add(i)
-                        break
-                else:
-                    found.append((text, {i}))
-        self.by_size = {}
-        for size, found in known.items():
-            keys = np.sort(np.fromiter(found, np.uint64, len(found)))
+            h = textscan.window_hashes(word, size)
+            at = np.flatnonzero((own[doc] & (np.arange(len(doc)) + size <= (first + many)[doc]))[: len(h)])
+            at = at[np.argsort(h[at], kind="stable")]
+            keys, lo = np.unique(h[at], return_index=True)
+            hi = np.r_[lo[1:], len(at)]
+            alike = np.ones(len(keys), bool)
+            for k in np.flatnonzero(hi - lo > 1).tolist():
+                same = {self.text(int(w), size) for w in at[lo[k] : hi[k]]}
+                alike[k] = len(same) == 1
             self.bitmap[(keys & np.uint64(BITMAP - 1)).astype(np.int64)] = True
-            self.by_size[size] = keys, found
+            self.by_size[size] = keys, lo, hi, alike, doc[at].astype(np.int32), at
+
+    def text(self, i: int, size: int) -> bytes:
+        """The words of a window, joined by spaces."""
+        return self.blob[self.word[i] : self.word[i + size] - 1]
 
     def scan(self, column: pa.Array):
-        """Per text: (number of words, hit word numbers, item numbers, byte span of each hit word)."""
+        """Per text: (number of words, hit word numbers, item numbers, byte span of each word)."""
         data, offsets = textscan.buffers(column)
         for a, b in textscan.slices(offsets):
             base = offsets[a]
             start, end, doc, folded = textscan.words(data[base : offsets[b]], offsets[a : b + 1] - base, textscan.ALNUM)
             word = textscan.word_hashes(folded, start, end)
             hit, items = np.zeros(len(word), bool), {}
-            for size, (keys, found) in self.by_size.items():
+            for size, (keys, lo, hi, alike, item, where) in self.by_size.items():
                 h = textscan.window_hashes(word, size)
                 at = np.flatnonzero(self.bitmap[(h & np.uint64(BITMAP - 1)).astype(np.int64)])
                 at = at[doc[at] == doc[at + size - 1]]
                 place = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-                for i in at[keys[place] == h[at]].tolist():
+                met = keys[place] == h[at]
+                for i, k in zip(at[met].tolist(), place[met].tolist()):
                     text = window_text(folded, start, end, i, size)
-                    for other, who in found[int(h[i])]:
-                        if other == text:
-                            hit[i : i + size] = True
-                            items.setdefault(int(doc[i]), set()).update(who)
+                    if alike[k]:
+                        good = slice(lo[k], hi[k] if text == self.text(int(where[lo[k]]), size) else lo[k])
+                    else:
+                        good = [e for e in range(lo[k], hi[k]) if text == self.text(int(where[e]), size)]
+                    if len(found := item[good]):
+                        hit[i : i + size] = True
+                        items.setdefault(int(doc[i]), {})[size, text] = found
             first = np.searchsorted(doc, np.arange(b - a + 1))
             for k in range(b - a):
                 x, y = int(first[k]), int(first[k + 1])
-                where = np.flatnonzero(hit[x:y]) if k in items else ()
+                near = np.flatnonzero(hit[x:y]) if k in items else ()
                 shift = int(offsets[a + k] - base)
-                yield y - x, where, items.get(k, ()), start[x:y] - shift, end[x:y] - shift
+                who = np.unique(np.concatenate(list(items[k].values()))).tolist() if k in items else ()
+                yield y - x, near, who, start[x:y] - shift, end[x:y] - shift
+
+
+def _joined(folded: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """(all words with a space after each, place of each word and of the end)."""
+    size = end - start
+    at = np.r_[0, np.cumsum(size + 1)]
+    out = np.full(int(at[-1]), 32, np.uint8)
+    out[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = folded[folded != 0]
+    return out.tobytes(), at
 
 
 def window_text(folded, start, end, i: int, size: int) -> bytes:
@@ -110,68 +136,95 @@ def window_text(folded, start, end, i: int, size: int) -> bytes:
 
 
 def parts(benchmark: DataFrame, id_col: str, text_col: str, part_bytes: int, n: int):
-    """Windows objects of at most about ``part_bytes`` of item text each."""
-    keyed = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("words"))
-    total = keyed.agg(F.sum(F.octet_length("words"))).first()[0] or 0
+    """Windows objects of about ``part_bytes`` of item text each."""
+    keyed = benchmark.select(F.col(f"`{id_col}`").cast("string").alias("item"), F.col(f"`{text_col}`").cast("string").alias("words"))
+    total = keyed.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
     count = -(-total // part_bytes) or 1
     for p in range(count):
         rows = keyed.where(F.pmod(F.xxhash64("item", "words"), F.lit(count)) == p).collect()
-        yield Windows([r["item"] for r in rows], [r["words"] for r in rows], n)
+        yield p == count - 1, Windows([r["item"] for r in rows], [r["words"] for r in rows], n)
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", out_col: str = "_found", n: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """docs with a struct column ``out_col``: n_words, n_hit, items (sorted), spans (bytes of hit runs)."""
     spark = docs.sparkSession
+    if common.free_name(docs, out_col) != out_col:
+        raise ValueError(f"there is a column {out_col!r} already")
     common.small_batches(spark)
     schema = T.StructType([*docs.schema.fields, T.StructField(out_col, FOUND)])
-    out, many = docs, None
-    for number, windows in enumerate(parts(benchmark, item_col, item_text_col, part_bytes, n)):
-        if number:
-            many = out = common.materialize(out, "decontaminate")
+    found = None
+    for last, windows in parts(benchmark, item_col, item_text_col, part_bytes, n):
         shared = spark.sparkContext.broadcast(windows)
-        out = out.mapInArrow(_scanner(shared, text_col, out_col, many is not None), schema)
-    return out
+        if last and found is None:
+            return docs.mapInArrow(_annotator(shared, text_col, out_col), schema)
+        own = docs.select(F.col(f"`{text_col}`").cast("string").alias("text")).mapInArrow(_finder(shared), HITS)
+        # Copies of a text find the same, so a part leaves a row per text.
+        own = own.select(F.xxhash64("text").alias("ta"), F.xxhash64(F.lit(1), "text").alias("tb"), "items", "runs")
+        own = common.materialize(own.groupBy("ta", "tb").agg(F.first("items").alias("items"), F.first("runs").alias("runs")), "benchmark-hits")
+        shared.unpersist()
+        found = own if found is None else found.union(own)
+    return _joined_hits(docs, found, text_col, out_col)
+
+
+def _joined_hits(docs: DataFrame, found: DataFrame, text_col: str, out_col: str) -> DataFrame:
+    """docs with the hits that several parts found in their texts; runs that overlap or follow on are one."""
+    spark = docs.sparkSession
+    merged = found.groupBy("ta", "tb").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.flatten(F.collect_list("runs"))).alias("runs"))
+    grow = lambda a, x: F.struct(a["first"].alias("first"), F.greatest(a["last"], x["last"]).alias("last"), a["start"].alias("start"), F.greatest(a["end"], x["end"]).alias("end"))
+    fold = lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["last"] >= x["first"]), F.concat(F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0))), F.array(grow(F.element_at(a, -1), x)))).otherwise(F.concat(a, F.array(x)))
+    one = F.aggregate("runs", F.array().cast("array<struct<first:bigint,last:bigint,start:bigint,end:bigint>>"), fold)
+    a, b, hits = (common.free_name(docs, x) for x in ("_pl_ta", "_pl_tb", "_pl_hits"))
+    merged = common.materialize(merged.select(F.col("ta").alias(a), F.col("tb").alias(b), F.struct("items", one.alias("runs")).alias(hits)), "all-benchmark-hits")
+    scanned = docs.mapInArrow(_annotator(spark.sparkContext.broadcast(Windows([], [])), text_col, out_col), T.StructType([*docs.schema.fields, T.StructField(out_col, FOUND)]))
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    keyed = scanned.withColumns({a: F.xxhash64(text), b: F.xxhash64(F.lit(1), text)})
+    joined = common.join_by_keys(keyed, merged, [a, b], "left")
+    own, other = F.col(f"`{out_col}`"), F.col(hits)
+    count = F.aggregate(other["runs"], F.lit(0).cast("long"), lambda s, r: s + r["last"] - r["first"])
+    spans = F.transform(other["runs"], lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end")))
+    full = F.when(other.isNotNull(), F.struct(own["n_words"].alias("n_words"), count.alias("n_hit"), other["items"].alias("items"), spans.alias("spans"))).otherwise(own)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], full.alias(out_col))
+
+
+def _annotator(shared, text_col: str, out_col: str):
+    def run(batches):
+        windows = shared.value
+        for batch in batches:
+            rows = []
+            for n_words, hits, items, start, end in windows.scan(batch.column(batch.schema.names.index(text_col))):
+                names = sorted({windows.ids[i] for i in items} - {None})
+                rows.append({"n_words": n_words, "n_hit": len(hits), "items": names, "spans": [{"start": s, "end": e} for _, _, s, e in _runs(hits, start, end)]})
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, ARROW_FOUND)], names=[*batch.schema.names, out_col])
+
+    return run
 
 
-def _scanner(shared, text_col: str, out_col: str, again: bool):
+def _finder(shared):
+    """text -> HITS of texts that have some."""
     def run(batches):
         windows = shared.value
         for batch in batches:
-            names = batch.schema.names
-            text = batch.column(names.index(text_col))
-            before = batch.column(names.index(out_col)).to_pylist() if again else [None] * len(text)
-            rows = []
-            for (n_words, hits, items, start, end), old in zip(windows.scan(text), before):
-                runs, count = _runs(hits, start, end, old["spans"] if old else ())
-                names_found = {windows.ids[i] for i in items} - {None} | set(old["items"] if old else ())
-                if old and len(hits) and old["n_hit"]:
-                    count = int(sum(((start >= s) & (end <= e)).sum() for s, e in runs))
-                elif old and not len(hits):
-                    count = old["n_hit"]
-                rows.append({"n_words": n_words, "n_hit": count, "items": sorted(names_found), "spans": [{"start": s, "end": e} for s, e in runs]})
-            found = pa.array(rows, ARROW_FOUND)
-            columns = [c for c, name in zip(batch.columns, names) if not (again and name == out_col)]
-            yield pa.RecordBatch.from_arrays([*columns, found], names=[*[x for x in names if not (again and x == out_col)], out_col])
+            rows, at = [], []
+            for k, (_, hits, items, start, end) in enumerate(windows.scan(batch.column(0))):
+                if len(hits):
+                    runs = [dict(zip(("first", "last", "start", "end"), r)) for r in _runs(hits, start, end)]
+                    rows.append((sorted({windows.ids[i] for i in items} - {None}), runs))
+                    at.append(k)
+            if rows:
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array([r[0] for r in rows], pa.list_(pa.string())), pa.array([r[1] for r in rows], _RUNS)], names=["text", "items", "runs"])
 
     return run
 
 
-def _runs(hits, start, end, old) -> tuple[list[tuple[int, int]], int]:
-    """Hit words as runs of bytes, merged with earlier runs where they overlap or follow on."""
-    runs = []
-    if len(hits):
-        cut = np.flatnonzero(np.diff(hits) > 1)
-        for a, b in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(hits) - 1].tolist()):
-            runs.append((int(start[hits[a]]), int(end[hits[b]])))
-    if old:
-        merged: list[list[int]] = []
-        for s, e in sorted([*runs, *((x["start"], x["end"]) for x in old)]):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e])
-        runs = [(s, e) for s, e in merged]
-    return runs, len(hits)
+_RUNS = pa.list_(pa.struct([(x, pa.int64()) for x in ("first", "last", "start", "end")]))
+
+
+def _runs(hits, start, end) -> list[tuple[int, int, int, int]]:
+    """Hit words as runs: first word, last word + 1, first byte, last byte + 1."""
+    if not len(hits):
+        return []
+    cut = np.flatnonzero(np.diff(hits) > 1)
+    return [(int(hits[a]), int(hits[b]) + 1, int(start[hits[a]]), int(end[hits[b]])) for a, b in zip(np.r_[0, cut + 1].tolist(), np.r_[cut, len(hits) - 1].tolist())]
 
 
 def drop_documents(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
