@@ -12,19 +12,24 @@ from the stored bytes alone:
   exceeds its file's median by ``ON_DB`` and lasts until it falls below the median.
 
 The filterbanks are cut into tensors of ``FRAMES`` x ``MELS`` bytes (the last one
-zero-padded) with the time span each covers; ``tensor_batches`` gives them as
-Arrow fixed-shape tensors. A file is worked off in blocks, so memory doesn't grow
-with its length beyond the samples themselves.
+zero-padded) with the time span each covers. A task stores those of its files as an
+Arrow fixed-shape tensor column, a row per tensor, in Parquet shards of about
+``SHARD_BYTES``; what it returns names a file's shard, row group and rows, and only
+shards of committed attempts are named. ``features`` reads the tensors back.
+Spectra are worked out in blocks; a file's samples are held as 8-byte floats, before
+and after resampling, so a task takes some 30 bytes for each byte of its longest text.
 
 Defined cases: null and empty texts are 64 zero bytes; the last frame is filled up
-with zeros, so every sample lies in one and the last span may end after the file; equal texts give equal values; repeated rows are kept; an
-empty table gives no rows; further columns are ignored.
+with zeros, so every sample lies in one and the last span may end after the file; equal texts give equal values; repeated rows are kept; null
+ids stay null; very long texts are read whole; an empty table gives no rows; further
+columns of any name are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -41,13 +46,16 @@ FRAME, HOP, MELS, FRAMES = 256, 128, 32, 64
 ON_DB = 1.0
 BLOCK = 1 << 17
 NEW_RATE = RATE * UP // DOWN
+SHARD_BYTES = 64 << 20
+#: Files whose tensors make up a row group.
+GROUP = 200
+TENSOR = pa.fixed_shape_tensor(pa.uint8(), (FRAMES, MELS))
 
 MEDIA = "doc_id {kind}, n_bytes long, media binary"
-FOUND = (
-    "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long,"
-    " tensors array<struct<start_ms: double, end_ms: double, mel: binary>>, segments array<struct<start_ms: double, end_ms: double>>"
-)
-_TENSORS = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64()), ("mel", pa.binary())]))
+DESCRIBED = "doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long"
+SEGMENTS = "segments array<struct<start_ms: double, end_ms: double>>"
+PLACE = "shard string, row_group int, first int, n_tensors int"
+TENSORS = "tensors array<struct<start_ms: double, end_ms: double, mel: binary>>"
 _SEGMENTS = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
 
 
@@ -139,16 +147,16 @@ def milliseconds(frame: int) -> float:
 
 
 def describe(media: bytes) -> tuple:
-    """What a stored file gives: sizes, digests, tensors with spans, segments."""
+    """What a stored file gives: sizes, digests, number of frames, segments, tensors as (start_ms, end_ms, array)."""
     samples = from_wav(media)
     mel, segments = analyse(samples)
     tensors = []
     for a in range(0, len(mel), FRAMES):
         part = mel[a : a + FRAMES]
         end = milliseconds(a + len(part) - 1) + FRAME * 1000 / NEW_RATE
-        tensors.append({"start_ms": milliseconds(a), "end_ms": round(end, 3), "mel": part.tobytes().ljust(FRAMES * MELS, b"\0")})
+        tensors.append((milliseconds(a), round(end, 3), np.pad(part, ((0, FRAMES - len(part)), (0, 0)))))
     spans = [{"start_ms": milliseconds(a), "end_ms": round(milliseconds(b - 1) + FRAME * 1000 / NEW_RATE, 3)} for a, b in segments]
-    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), tensors, spans
+    return len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), len(mel), spans, tensors
 
 
 def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,38 +176,112 @@ def write_media(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     return spark.read.schema(schema).parquet(path)
 
 
-def features(media: DataFrame) -> DataFrame:
-    """Per stored file: sizes, digests, fixed-shape tensors with time spans, and segments."""
+class Shards:
+    """Parquet files of tensors, written by one task."""
+
+    def __init__(self, path: str, id_type: pa.DataType):
+        from pyarrow import fs
+
+        self.store, self.root = fs.FileSystem.from_uri(path)
+        self.schema = pa.schema([("doc_id", id_type), ("start_ms", pa.float64()), ("end_ms", pa.float64()), ("mel", TENSOR)])
+        self.out, self.name, self.groups, self.size = None, "", 0, 0
+
+    def write(self, ids: pa.Array, found: list[list[tuple]]) -> list[tuple[str, int, int, int]]:
+        """One row group; the place of each file's tensors: shard, row group, first row, rows."""
+        import pyarrow.parquet as pq
+
+        if self.out is None or self.size > SHARD_BYTES:
+            self.close()
+            self.store.create_dir(self.root, recursive=True)
+            self.name, self.groups, self.size = f"tensors-{uuid.uuid4().hex}.parquet", 0, 0
+            self.stream = self.store.open_output_stream(f"{self.root}/{self.name}")
+            self.out = pq.ParquetWriter(self.stream, self.schema, compression="zstd")
+        many = np.array([len(x) for x in found])
+        flat = [t for x in found for t in x]
+        mel = pa.FixedShapeTensorArray.from_numpy_ndarray(np.stack([t[2] for t in flat]))
+        owner = pa.array(np.repeat(np.arange(len(many)), many))
+        rows = pa.table([ids.take(owner), pa.array([t[0] for t in flat]), pa.array([t[1] for t in flat]), mel], schema=self.schema)
+        self.out.write_table(rows, row_group_size=len(flat))
+        self.size += len(flat) * FRAMES * MELS
+        self.groups += 1
+        return [(self.name, self.groups - 1, int(a), int(n)) for a, n in zip(np.cumsum(many) - many, many)]
+
+    def close(self) -> None:
+        if self.out is not None:
+            self.out.close()
+            self.stream.close()
+            self.out = None
+
+
+def write_tensors(media: DataFrame, path: str) -> DataFrame:
+    """Store the tensors of every file below path; per file sizes, digests, segments and where its tensors are, written."""
     common.small_batches(media.sparkSession)
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "segments", "shard", "row_group", "first", "n_tensors"]
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _SEGMENTS)
 
     def run(batches):
-        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), _TENSORS, _SEGMENTS)
-        names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_frames", "tensors", "segments"]
-        for batch in batches:
-            for a in range(0, batch.num_rows, 200):
-                part = batch.slice(a, 200)
-                found = zip(*(describe(m.as_buffer().to_pybytes()) for m in part.column(2)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, k) for c, k in zip(found, kinds))], names=names)
-
-    return media.mapInArrow(run, FOUND.format(kind=media.schema["doc_id"].dataType.simpleString()))
-
+        shards = None
+        try:
+            for batch in batches:
+                shards = shards or Shards(f"{path}/tensors", batch.schema.field(0).type)
+                for a in range(0, batch.num_rows, GROUP):
+                    part = batch.slice(a, GROUP)
+                    *found, tensors = zip(*(describe(m.as_buffer().to_pybytes()) for m in part.column(2)))
+                    place = zip(*shards.write(part.column(0), tensors))
+                    columns = [pa.array(c, k) for c, k in zip(found, kinds)] + [pa.array(c, k) for c, k in zip(place, (pa.string(), pa.int32(), pa.int32(), pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], names=names)
+        finally:
+            if shards:
+                shards.close()
+
+    kind = media.schema["doc_id"].dataType.simpleString()
+    return common.materialize(media.mapInArrow(run, f"{DESCRIBED.format(kind=kind)}, {SEGMENTS}, {PLACE}"), "audio-index")
+
+
+def read_tensors(index: DataFrame, path: str) -> DataFrame:
+    """index with the tensors of each file, read from the shards it names."""
+    common.small_batches(index.sparkSession)
+    kind = index.schema["doc_id"].dataType.simpleString()
 
-def tensor_batches(found: pa.Table) -> pa.Table:
-    """Rows of features() as one row per tensor, with an Arrow fixed-shape tensor column."""
-    import pyarrow.compute as pc
+    def run(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
 
-    lists = found["tensors"].combine_chunks()
-    flat, owner = lists.flatten(), pc.list_parent_indices(lists)
-    data = b"".join(flat.field("mel").to_pylist())
-    store = pa.FixedSizeListArray.from_arrays(pa.array(np.frombuffer(data, np.uint8)), FRAMES * MELS)
-    tensor = pa.ExtensionArray.from_storage(pa.fixed_shape_tensor(pa.uint8(), (FRAMES, MELS)), store)
-    return pa.table({"doc_id": found["doc_id"].take(owner), "start_ms": flat.field("start_ms"), "end_ms": flat.field("end_ms"), "mel": tensor})
+        store, root = fs.FileSystem.from_uri(f"{path}/tensors")
+        for batch in batches:
+            shard, group, first, many = (batch.column(i).to_pylist() for i in range(9, 13))
+            i = 0
+            while i < batch.num_rows:
+                j = i + 1  # the files of one row group, which mostly stand together
+                while j < batch.num_rows and (shard[j], group[j]) == (shard[i], group[i]):
+                    j += 1
+                with store.open_input_file(f"{root}/{shard[i]}") as f:
+                    rows = pq.ParquetFile(f).read_row_group(group[i], columns=["start_ms", "end_ms", "mel"]).combine_chunks()
+                mel = rows["mel"].chunk(0)
+                if mel.type != TENSOR:
+                    raise ValueError("a shard without a tensor column")
+                take = np.concatenate([np.arange(a, a + n) for a, n in zip(first[i:j], many[i:j])])
+                data = mel.to_numpy_ndarray().reshape(len(rows), -1)[take]
+                bytes_ = pa.Array.from_buffers(pa.binary(FRAMES * MELS), len(take), [None, pa.py_buffer(data.tobytes())]).cast(pa.binary())
+                at = pa.array(take)
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(many[i:j])], pa.int32()), pa.StructArray.from_arrays([rows["start_ms"].chunk(0).take(at), rows["end_ms"].chunk(0).take(at), bytes_], names=["start_ms", "end_ms", "mel"]))
+                part = batch.slice(i, j - i)
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(9)), lists], names=[*part.schema.names[:9], "tensors"])
+                i = j
+
+    return index.mapInArrow(run, f"{DESCRIBED.format(kind=kind)}, {SEGMENTS}, {TENSORS}")
+
+
+def features(media: DataFrame, path: str | None = None) -> DataFrame:
+    """Per stored file: sizes, digests, segments, and its tensors with time spans as read back from below path."""
+    path = path or common.shared_path(media.sparkSession, "audio")
+    return read_tensors(write_tensors(media, path), path)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Every whole text of documents, stored and read back."""
-    media = write_media(common.table(spark, sf_dir, "documents"), common.shared_dir(spark, "media"))
-    found = common.materialize(features(media), "features")
+    path = common.shared_path(spark, "audio")
+    found = features(write_media(common.table(spark, sf_dir, "documents"), f"{path}/media"), path)
     mels = F.md5(F.array_join(F.transform("tensors", lambda t: F.md5(t["mel"])), ""))
     feature = F.concat_ws(":", F.col("n_frames").cast("string"), F.size("segments").cast("string"), mels)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.size("segments").alias("n_segments"))
