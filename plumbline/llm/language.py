@@ -11,7 +11,7 @@ Evidence about a record's language l:
 The tables behind the last two are grouped sums of the text posteriors over all
 records (a step before the shuffle, so a host with a third of all rows is one row
 per task); a record's own share is taken out of its host's sums. The text model is
-trained on at most ``SAMPLE`` labelled rows per language, taken by hash of the id.
+trained on rows of at most ``SAMPLE`` ids per language, taken by hash of the id.
 Every name in the training rows is a language, however many there are: the model
 takes 128 KB of the driver for each, and texts are scored ``BLOCK`` languages at a
 time, so no worker holds more than a block's table.
@@ -22,9 +22,12 @@ A record is accepted when it has a letter and its best language reaches
 Defined cases: null and empty texts have no letters and aren't accepted; their
 language is what declaration and address say; null hosts and suffixes are groups of
 their own; a declared language that isn't among the model's counts as "other";
-null ids pass through; repeated rows are counted on their own; an empty table
-gives no rows; a training table that names no language leaves one, ``und``, at
-confidence 1, so that records with a letter are accepted.
+null ids pass through; repeated rows are counted on their own, and rows that share
+an id but not a language each train their own; languages that tie go to the first by
+name; very long texts are read whole, by themselves; an empty table gives no rows; a
+training table that names no language leaves one, ``und``, at confidence 1, so that
+records with a letter are accepted. Further columns of documents pass through
+``keep_accepted`` whatever their names.
 """
 
 from __future__ import annotations
@@ -89,9 +92,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # A hash threshold by language leaves a little more than the sample, whatever the language's size.
     share = F.least(F.lit(1.0), F.lit(1.5 * sample) / F.col("n") + F.lit(50.0) / F.col("n"))
     place = F.pmod(F.xxhash64("id", F.lit("language sample")), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    drawn = common.join_by_keys(named, counts, "lang", "inner").where(place < share).withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("place") <= sample)
-    drawn = common.materialize(drawn.select(F.col("id").alias("_pl_id"), "lang").distinct(), "language-sample")
-    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).join(F.broadcast(drawn) if drawn.count() <= common.BROADCAST_ROWS else drawn, F.col("id") == F.col("_pl_id")).select("lang", "text")
+    drawn = common.join_by_keys(named, counts, "lang", "inner").where(place < share).select("id", "lang").distinct()
+    drawn = drawn.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(place, "id"))).where(F.col("place") <= sample)
+    drawn = common.materialize(drawn.select("id", "lang").distinct(), "language-sample")
+    rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.lower(F.trim(F.col(f"`{lang_col}`"))).alias("lang"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    texts = common.join_by_keys(rows, drawn, ["id", "lang"], "left_semi").select("lang", "text")
 
     def flush(sums):
         at = [np.flatnonzero(v) for v in sums.values()]
@@ -252,9 +257,11 @@ def keep_accepted(docs: DataFrame) -> DataFrame:
     A row's decision depends on its id, text, declared language and source, so two
     hashes of these name it; only the rejected rows' hashes are joined back.
     """
-    keys = {"_pl_k": F.xxhash64("doc_id", "text", "lang", "source"), "_pl_l": F.xxhash64(F.lit(1), "doc_id", "text", "lang", "source")}
-    records = document_records(docs.withColumns(keys).withColumn("_pl_key", F.struct(*keys)), "_pl_key")
-    found = identify(records, train(docs))
+    k, l = common.free_name(docs, "_pl_k"), common.free_name(docs, "_pl_l")
+    keys = {k: F.xxhash64("doc_id", "text", "lang", "source"), l: F.xxhash64(F.lit(1), "doc_id", "text", "lang", "source")}
+    plain = docs.select("doc_id", "text", "lang", "source")
+    records = document_records(plain.withColumns(keys).withColumn("_pl_key", F.struct(*keys)), "_pl_key")
+    found = identify(records, train(plain))
     gone = common.materialize(found.where("NOT accepted").select("doc_id.*").distinct(), "rejected")
     return common.join_by_keys(docs.withColumns(keys), gone, list(keys), "left_anti").drop(*keys)
 
