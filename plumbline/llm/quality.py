@@ -7,29 +7,33 @@ attention weight within its text, and the weighted sum of the h gives the score.
 Encoder, gate and classifier are learned together from document labels alone.
 
 The model is trained on the driver from at most ``SAMPLE`` labelled rows, taken by
-hash of the id among rows whose crc32(id) mod 4 isn't 2; of a sampled text at most
-``BAG`` passages, evenly spaced, go into training. Both bound the driver's memory
-and are parameters; scoring reads every passage of every text. Nothing but the
-text is an input of a score.
+hash of the id among rows whose crc32(id) mod 4 isn't 2, as far as their passages
+come to ``PASSAGES`` (a row with more than an eighth of these isn't taken). Both
+bound the driver's memory, and both are parameters. A row that is taken is learned
+from whole, and scoring reads every passage of every text. Nothing but the text is
+an input of a score.
 
 Defined cases: null and empty texts are one passage without words; a table without
 labels of both kinds gives every text the labels' mean (0.5 without any); null
-labels and ids without a text are passed over; a null id is scored and isn't held
-out; repeated rows score alike; an empty table gives no rows.
+labels and ids without a row are passed over; of an id's labels the larger counts; a
+null id is scored and isn't held out; repeated rows score alike; very long texts are
+scored whole, by themselves; an empty table gives no rows; further columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, textscan
 
 PASSAGE = 64
 SAMPLE = 6000
-BAG = 64
+#: Passages in training, of WIDTH 4-byte numbers each.
+PASSAGES = 150_000
 THRESHOLD = 0.7
 EPOCHS = 8
 HIDDEN, GATE = 24, 12
@@ -67,7 +71,9 @@ def bags(column: pa.Array):
         per = np.maximum(1, -(-count // PASSAGE))
         base = np.cumsum(per) - per
         if not len(start):
-            yield a, np.zeros((int(per.sum()), WIDTH), np.float32), per
+            x = np.zeros((int(per.sum()), WIDTH), np.float32)
+            x[:, STYLE - 2] = 1 / PASSAGE  # the fill of a passage counts one word at least
+            yield a, x, per
             continue
         word = textscan.word_hashes(folded, start, end)
         within = np.arange(len(start)) - (np.cumsum(count) - count)[doc]
@@ -163,26 +169,30 @@ def remainder(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bag: int = BAG) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, passages: int = PASSAGES) -> Model:
     """A model of ``quality`` from labelled rows outside the held-out quarter. docs: doc_id, text."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1)).where(remainder("doc_id") != 2)
     picked = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     picked = common.materialize(picked, "sample")  # at most `sample` rows
     common.small_batches(docs.sparkSession)
-    texts = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "text", "quality")
+    docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    # Of rows that share an id the one with the least hash of its text is learned from.
+    texts = docs.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    sized = texts.withColumn("size", F.greatest(F.ceil(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")) / PASSAGE), F.lit(1)).cast("long"))
+    sized = common.materialize(sized, "sample-texts")  # at most `sample` rows
+    upto = F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    kept = sized.where(F.col("size") * 8 <= passages).select("doc_id", "size").withColumn("upto", upto).where(F.col("upto") <= passages)
+    texts = sized.join(F.broadcast(kept.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text", "quality")
 
     def run(batches):
         for batch in batches:
             for a, x, per in bags(batch.column(1)):
-                rows, at = [], 0
-                for n in per.tolist():
-                    take = at + np.unique(np.linspace(0, n - 1, min(n, bag)).astype(int))
-                    rows.append(x[take].tobytes())
-                    at += n
+                cut = np.cumsum(per)
+                rows = [x[i:j].tobytes() for i, j in zip((cut - per).tolist(), cut.tolist())]
                 part = batch.slice(a, len(per))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2).cast(pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
 
-    got = texts.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
+    got = texts.mapInArrow(run, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending")])
     y = np.array(got["quality"].to_pylist(), dtype=float)
     if not len(y) or y.min() == y.max():
         return Model(prior=float(np.clip(y.mean(), 0.001, 0.999)) if len(y) else 0.5)
