@@ -10,12 +10,14 @@ sequence's lowest-rank pair (its leftmost, on ties) is applied in all sequences
 at once, until no sequence has a pair. What survives is counted: one per piece,
 and one per UTF-8 byte for a character outside the vocabulary.
 
-Pre-tokens of more than ``LONG`` symbols (a rank-synchronous round would scan
-them once per merge) are merged by a heap in n log n, with the same order.
+Pre-tokens of more than ``LONG`` symbols are held as linked arrays with the places of
+each rank, as a round that scans a long sequence to merge one pair of it would make
+the work quadratic; there a round merges all places of the lowest rank.
 
 Defined cases: null and empty texts have 0 bytes and 0 tokens; a space run is a
 pre-token like any other; strings of special tokens are ordinary text; repeated
-rows are counted on their own; an empty table gives no rows.
+rows are counted on their own; very long texts are counted whole; null ids stay null;
+an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -72,28 +74,19 @@ class Merger:
         self.keys = np.array(sorted(merges), dtype=np.int64)
         self.rank = np.array([merges[k][0] for k in self.keys.tolist()], dtype=np.int64)
         self.made = np.array([merges[k][1] for k in self.keys.tolist()], dtype=np.int64)
-        self.merges = merges
         self.of_code = np.full(0x110000, self.other, dtype=np.int64)
         for c, i in self.ids.items():
             if len(c) == 1:
                 self.of_code[ord(c)] = i
 
-    def start(self, word: str) -> list[int]:
-        get, other = self.ids.get, self.other
-        return [get(c, other) for c in word]
-
-    def spelled(self, word: str) -> int:
-        """Tokens beyond one that its characters outside the vocabulary add: one per byte."""
-        return sum(len(c.encode()) - 1 for c in word if self.ids.get(c, self.other) >= self.known)
-
     def count(self, words: list[str]) -> list[int]:
         out = np.zeros(len(words), dtype=np.int64)
         short = [i for i, w in enumerate(words) if len(w) <= LONG]
         if short:
             out[short] = self.count_short([words[i] for i in short])
-        for i, w in enumerate(words):
-            if len(w) > LONG:
-                out[i] = self.count_long(w)
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        if long:
+            out[long] = self.count_long([words[i] for i in long])
         return out.tolist()
 
     def count_short(self, words: list[str]) -> np.ndarray:
@@ -139,33 +132,74 @@ class Merger:
         place = np.minimum(np.searchsorted(self.keys, pair), len(self.keys) - 1)
         return np.where(self.keys[place] == pair, self.rank[place], NONE), self.made[place]
 
-    def count_long(self, word: str) -> int:
-        symbol = self.start(word)
-        n = len(symbol)
-        after, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-        heap = []
-
-        def offer(i):
-            j = after[i]
-            if j < n and (m := self.merges.get(symbol[i] * self.width + symbol[j])):
-                heapq.heappush(heap, (m[0], i, symbol[i], symbol[j], m[1]))
+    def count_long(self, words: list[str]) -> np.ndarray:
+        """The same in linked arrays, in which a round costs what it merges.
 
-        for i in range(n - 1):
-            offer(i)
-        survive = n
+        The lowest rank of all sequences is each one's lowest where it occurs, so a
+        round takes the places of one rank. From left to right each is merged, those
+        that overlap one before excepted, up to the first that makes a pair of the
+        same or a lower rank, as that pair's turn is then next.
+        """
+        code = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        owner = np.repeat(np.arange(len(words)), size)
+        # A last element that merges with nothing stands for what is beyond the ends.
+        symbol = np.r_[self.of_code[code], self.other]
+        known = symbol[:-1] < self.known
+        extra = np.where(known, 0, (code > 0x7F).astype(np.int64) + (code > 0x7FF) + (code > 0xFFFF))
+        left = size + np.bincount(owner, weights=extra, minlength=len(words)).astype(np.int64)
+        n = len(owner)
+        after, before = np.r_[np.arange(1, n), n, n], np.r_[n, np.arange(n - 1), n]
+        last = np.cumsum(size) - 1
+        after[last], before[last - size + 1] = n, n
+        rank, made = self.look_up(symbol, symbol[after])
+        rank[n] = NONE
+        waiting: dict[int, list[np.ndarray]] = {}
+        heap: list[int] = []
+
+        def offer(at: np.ndarray) -> None:
+            at = at[rank[at] < NONE]
+            at = at[np.argsort(rank[at], kind="stable")]
+            values, first = np.unique(rank[at], return_index=True)
+            for v, places in zip(values.tolist(), np.split(at, first[1:])):
+                if v not in waiting:
+                    waiting[v] = []
+                    heapq.heappush(heap, v)
+                waiting[v].append(places)
+
+        offer(np.arange(n))
         while heap:
-            _, i, a, b, made = heapq.heappop(heap)
-            j = after[i] if alive[i] else n
-            if j >= n or symbol[i] != a or symbol[j] != b:
+            now = heapq.heappop(heap)
+            at = np.unique(np.concatenate(waiting.pop(now)))
+            at = at[rank[at] == now]
+            if not len(at):
                 continue
-            symbol[i], alive[j], after[i] = made, False, after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            survive -= 1
-            offer(i)
-            if before[i] >= 0:
-                offer(before[i])
-        return survive + self.spelled(word)
+            number = np.arange(len(at))
+            chained = np.r_[False, after[at[:-1]] == at[1:]]
+            at = at[(number - np.maximum.accumulate(np.where(chained, 0, number))) % 2 == 0]
+            new, right = made[at], after[at]
+            beyond = after[right]
+            front = symbol[before[at]]
+            touching = np.r_[False, right[:-1] == before[at[1:]]]
+            front[touching] = new[:-1][touching[1:]]
+            early = np.minimum(np.where(beyond < n, self.look_up(new, symbol[beyond])[0], NONE), np.where(before[at] < n, self.look_up(front, new)[0], NONE)) <= now
+            if early.any():  # what follows the first such place in its sequence waits
+                own = owner[at]
+                seen = np.cumsum(early) - early
+                wait = seen > seen[np.searchsorted(own, own)]
+                offer_again = at[wait]
+                at, new, right, beyond = at[~wait], new[~wait], right[~wait], beyond[~wait]
+            else:
+                offer_again = at[:0]
+            symbol[at], after[at], before[beyond], rank[right] = new, beyond, at, NONE
+            before[n], after[n] = n, n
+            left -= np.bincount(owner[at], minlength=len(words))
+            changed = np.unique(np.r_[at, before[at]])
+            changed = changed[changed < n]
+            found, new = self.look_up(symbol[changed], symbol[after[changed]])
+            rank[changed], made[changed] = np.where(after[changed] < n, found, NONE), new
+            offer(np.r_[changed, offer_again])
+        return left
 
 
 class Counter:
