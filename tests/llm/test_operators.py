@@ -1,6 +1,7 @@
 """The ten operators on small fixtures: brute force, round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import struct
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("plumbline.llm.common")
 
-from plumbline.llm import audio, decontaminate, jaccard, language, line_dedup, mixing, quality, token_counts, token_records, warc  # noqa: E402
+from plumbline.llm import audio, decontaminate, jaccard, language, line_dedup, mixing, quality, textscan, token_counts, token_records, warc  # noqa: E402
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, text_ string, h long"
 
@@ -103,6 +104,34 @@ def test_token_records(spark, edge, none):
     assert token_records.encode_and_read_back(none).count() == 0
 
 
+@pytest.mark.parametrize("cache", [100, 100_000])
+def test_token_ids_match_the_library(cache):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    f = public_tokenizers.path(token_records.TOKENIZER)
+    t, rng = Tokenizer.from_file(f), random.Random(21)
+    signs = ["a", "Bc", "the", "é", "日", "9", "42", ".", ",", "'s", "!?", "$$", " ", " ", " ", "\n", "\n", "\t", "\r", "\u00a0", "\u3000", "\u2028", "\x1c", "\x00", "🙂", "<|endoftext|>", "—"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(14))) for _ in range(4000)] + [t or "" for t in EDGE] + [" ".join(f"w{i}x" for i in range(3000))]
+    enc = token_records.Encoder(f, cache)
+    got = [ids for a in range(0, len(texts), 300) for ids in enc.encode(pa.array(texts[a : a + 300]))]
+    for text, ids in zip(texts, got):
+        assert np.frombuffer(ids, enc.kind).tolist() == t.encode(text, add_special_tokens=False).ids, text
+    assert list(enc.encode(pa.array([None, ""]))) == [b"", b""] and list(enc.encode(pa.array([], pa.string()))) == []
+
+
+def test_token_records_extra_columns_and_shuffled_index(spark, edge, tmp_path):
+    import public_tokenizers
+
+    path = f"file://{tmp_path}/r"
+    docs = edge.withColumnsRenamed({"lang": "tie", "source": "place", "text_": "by0", "h": "shard"})
+    index = token_records.write_records(docs, path, public_tokenizers.path(token_records.TOKENIZER), shard_bytes=2000)
+    assert index.select("shard").distinct().count() > 1
+    whole = {r["doc_id"]: (r["before"], bytes(r["ids"])) for r in token_records.read_records(index, path).collect()}
+    mixed = token_records.read_records(index.orderBy(F.rand(3)), path).collect()
+    assert len(mixed) == len(EDGE) and {r["doc_id"]: (r["before"], bytes(r["ids"])) for r in mixed} == whole
+
+
 def test_token_records_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(None, "a b"), (5, "x"), (5, "y z"), (5, "x")], "doc_id long, text string")
     got = token_records.encode_and_read_back(docs).orderBy("start").collect()
@@ -133,6 +162,11 @@ def test_token_counts_match_the_library(spark, edge, none):
     letters = "abte ▁\n\tñ梦🙂\x00<s> 　é0."
     texts = [t or "" for t in EDGE] + ["".join(rng.choice(letters) for _ in range(rng.randrange(60))) for _ in range(3000)] + [" " * 3000, "the" * 300]
     assert token_counts.counter(f).count(texts) == [len(x) for x in sp.encode(texts, num_threads=1)]
+    long = ["".join(rng.choice(x) for _ in range(n)) for x in ("ab", "aab", "the", "aeiourstn", letters.replace(" ", "").replace("▁", ""), "0123456789abcdef", "梦日本語a") for n in (193, 700, 5000)]
+    assert token_counts.counter(f).count(long) == [len(x) for x in sp.encode(long, num_threads=1)]
+    whole = token_counts.Merger(f)
+    short = ["".join(rng.choice(x) for _ in range(rng.randrange(1, 40))) for x in ("ab", "the ", letters) for _ in range(200)]
+    assert whole.count_long(short).tolist() == whole.count_short(short).tolist()
     small = token_counts.Counter(token_counts.Prefixed(f), cache=50)
     assert [n for i in range(0, 600, 20) for n in small.count(texts[i : i + 20])] == [len(x) for x in sp.encode(texts[:600], num_threads=1)]
     got = {r["doc_id"]: r for r in token_counts.count_tokens(edge, f).collect()}
@@ -182,10 +216,73 @@ def test_quality_learns(spark, edge, none):
     assert quality.fit(docs, marks.where("quality = 1")).forward(np.zeros((1, quality.WIDTH)), np.array([1]))[-1][0] > 0.9
 
 
+def brute_score(text, model):
+    """The score of a text, passage by passage and number by number."""
+    raw = (text or "").encode()
+    found = list(re.finditer(rb"[^\x20\x09-\x0D]+", raw))
+    bags = [found[a : a + quality.PASSAGE] for a in range(0, len(found), quality.PASSAGE)] or [[]]
+    upper = lambda w: sum(65 <= c < 91 for c in w)
+    letter = lambda w: sum(65 <= c < 91 or 97 <= c < 123 or c >= 128 for c in w)
+    digit = lambda w: sum(48 <= c < 58 for c in w)
+    sign = lambda w: sum(33 <= c < 127 for c in w) - sum(33 <= c < 127 and (chr(c).isalnum()) for c in w)
+    ending = lambda w: 1 if w[-1] in b",.:;" else 2 if w[-1] in b"!?" else 3 if sign(w[-1:]) else 0
+    hashed = textscan.word_hashes(*(lambda s, e, d, f: (f, s, e))(*textscan.words(*textscan.buffers(pa.array([text], pa.string())), textscan.SPACED)))
+    rows, at = [], 0
+    for bag in bags:
+        w = [m[0] for m in bag]
+        n, chars = max(len(w), 1), max(sum(map(len, w)), 1)
+        h = hashed[at : at + len(w)].tolist()
+        before = hashed[at - 1 : at].tolist() if at else []
+        x = np.zeros(quality.WIDTH)
+        shout = [upper(v) >= 2 and upper(v) * 10 >= letter(v) * 6 for v in w]
+        mean = sum(map(len, w)) / n
+        low = [re.sub(rb"[A-Z]", lambda m: m[0].lower(), v) for v in w]
+        x[:14] = [
+            mean / 8, max(sum(len(v) ** 2 for v in w) / n - mean**2, 0) ** 0.5 / 4, sum(map(upper, w)) / chars, sum(shout) / n, sum(map(sign, w)) / chars * 4, sum(map(digit, w)) / chars,
+            sum(a == b for a, b in zip(before + h, h[1 - len(before) :] if not before else h)) / n, len(set(low)) / n, sum(sign(v) == len(v) for v in w) / n, sum(sign(v) >= 2 for v in w) / n, sum(sign(v) >= 3 for v in w) / n,
+            sum(65 <= v[0] < 91 for v in w) / n, min(n, quality.PASSAGE) / quality.PASSAGE, sum(ending(v) == 1 for v in w) / n,
+        ]
+        for v, s, k in zip(w, shout, h):
+            case = 2 if s else 1 if upper(v) else 0
+            x[14 + (case * 4 + ending(v)) * 4 + sum(len(v) >= b for b in (3, 6, 10))] += 2 / n
+            x[14 + 48 + k % 96] += 4 / n
+        rows.append(x)
+        at += len(w)
+    p = model.p
+    h = [np.tanh([sum((x[i] - model.mean[i]) * model.scale[i] * p["E"][i][j] for i in range(quality.WIDTH)) + p["e"][j] for j in range(quality.HIDDEN)]) for x in rows]
+    gate = [sum(p["w"][g] * np.tanh(v @ p["V"][:, g]) / (1 + np.exp(-(v @ p["U"][:, g]))) for g in range(quality.GATE)) for v in h]
+    weight = np.exp(np.array(gate)) / np.exp(gate).sum()
+    z = sum(a * v for a, v in zip(weight, h))
+    return 1 / (1 + np.exp(-(z @ p["c"] + p["b"])))
+
+
+def test_quality_scores_against_brute_force(spark):
+    rng = random.Random(22)
+    kinds = ["Word", "w,", "SHOUT", "***", "a1b2", "é", "end.", "why?", "w", "...", "lönger-words", "same same"]
+    texts = [None, "", " \n"] + [" ".join(rng.choice(kinds) for _ in range(n)) for n in (1, 5, 63, 64, 65, 300)]
+    model = quality.Model(seed=3)
+    model.p["c"] = np.random.default_rng(3).normal(size=quality.HIDDEN)
+    model.mean, model.scale = np.full(quality.WIDTH, 0.1, np.float32), np.full(quality.WIDTH, 2.0, np.float32)
+    got = {r["doc_id"]: r["score"] for r in quality.score(messy(spark, texts), model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - brute_score(t, model)) < 1e-4, t
+
+
+def test_quality_of_clashing_and_repeated_rows(spark):
+    rng = random.Random(23)
+    rows = [(i, words(rng, 30) if i % 2 else "*** " * 30, 5, "x") for i in range(80)] + [(7, words(rng, 30 + k), 5, "y") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int, size string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, quality int")
+    model = quality.fit(docs, marks)
+    assert quality.score(docs, model).count() == 130
+    few = quality.fit(docs, marks, passages=20)
+    assert few.forward(np.zeros((1, quality.WIDTH)), np.array([1]))[-1].shape == (1,)
+
+
 # 5 ---------------------------------------------------------------------------
 def test_audio_round_trip(spark, edge, none, tmp_path):
     media = audio.write_media(edge, f"file://{tmp_path}/m")
-    found = audio.features(media)
+    found = audio.features(media, f"file://{tmp_path}/t")
     got = {r["doc_id"]: r for r in found.collect()}
     for i, t in enumerate(EDGE):
         data = (t or "").encode()
@@ -194,8 +291,14 @@ def test_audio_round_trip(spark, edge, none, tmp_path):
         assert got[i]["tail_crc32"] == zlib.crc32(full[-64:])
         assert all(len(x["mel"]) == audio.FRAMES * audio.MELS and x["end_ms"] > x["start_ms"] for x in got[i]["tensors"])
     assert got[6]["tensors"] == got[7]["tensors"] and got[0]["tensors"] == got[1]["tensors"]
-    table = audio.tensor_batches(found.select("doc_id", "tensors").toArrow())
-    assert table["mel"].type == pa.fixed_shape_tensor(pa.uint8(), (audio.FRAMES, audio.MELS))
+    import pyarrow.parquet as pq
+
+    stored = pa.concat_tables([pq.read_table(f) for f in (tmp_path / "t" / "tensors").iterdir()])
+    assert stored["mel"].type == pa.fixed_shape_tensor(pa.uint8(), (audio.FRAMES, audio.MELS)) and len(stored) == sum(len(r["tensors"]) for r in got.values())
+    for i, t in enumerate(EDGE):
+        data = (t or "").encode()
+        *_, tensors = audio.describe(audio.to_wav(audio.padded(data)))
+        assert [(x["start_ms"], x["end_ms"], bytes(x["mel"])) for x in got[i]["tensors"]] == [(a, b, m.tobytes()) for a, b, m in tensors]
     assert audio.features(audio.write_media(none, f"file://{tmp_path}/n")).count() == 0
 
 
@@ -226,6 +329,13 @@ def test_mixing(spark, edge, none):
     mixed = mixing.mix(clash)
     assert mixed.columns == [*clash.columns, "copy_no_", "shuffle_key_"] and {(r["copy_no"], r["Shuffle_Key"]) for r in mixed.select(*clash.columns).collect()} == {("a", "b")}
     assert {r["source"] for r in mixing.mix(edge, target_rows=500).collect()} == {None, "s0"}
+    clash = docs.limit(50).selectExpr("doc_id", "source", "'a' AS _pl_source", "'b' AS _PL_cdf", "1 AS _pl_u", "2 AS _pl_n", "3 AS _pl_place", "0 AS rate", "0 AS n")
+    assert {tuple(r)[2:9] for r in mixing.mix(clash, target_rows=500).collect()} == {("a", "b", 1, 2, 3, 0, 0)}
+    rows = spark.createDataFrame([("a", 0.0), ("b", 0.3), ("c", 900.0), (None, 2.0)], "source string, rate double")
+    for r in mixing.distributions(rows).collect():
+        rate = {"a": 0.0, "b": 0.3, "c": 900.0, None: 2.0}[r["source"]]
+        want = np.cumsum([math.exp(-rate + k * math.log(rate) - math.lgamma(k + 1)) for k in range(len(r["cdf"]))]) if rate else [1.0]
+        assert np.abs(np.array(r["cdf"]) - want).max() < 1e-9 and abs(r["cdf"][-1] - 1) < 1e-9
 
 
 # 7 ---------------------------------------------------------------------------
@@ -250,6 +360,45 @@ def test_language(spark, edge, none):
     assert {r["doc_id"] for r in language.keep_accepted(unnamed).collect()} == {i for i, t in enumerate(EDGE) if any(c.isalpha() for c in t or "")}
 
 
+def test_language_posterior_against_brute_force(spark):
+    rng = random.Random(24)
+    rows = [(i, rng.choice([None, "", "12", "abcde abc", "degh fgd", "abdh"]), rng.choice(["aa", "bb", "zz", None]), rng.choice(["h1", "h2", None])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    langs, table = language.train(docs.where("lang IN ('aa', 'bb')").union(spark.createDataFrame([(900, "abcde", "cc", "h1")], docs.schema)))
+    records = language.document_records(docs).withColumn("suffix", F.expr("CASE WHEN host = 'h1' THEN 's' END"))
+    n, post, said, own, names = len(langs), {}, {}, {}, {}
+    for i, t, lang, host in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        bucket, _, letters = language.grams(data, np.array([0, len(data)]))
+        ll = table[bucket].sum(axis=0).astype(float) * language.TEMPER
+        p = np.exp(ll - ll.max()) / np.exp(ll - ll.max()).sum() if letters[0] else np.zeros(n)
+        names[i] = (lang if lang in langs else "other") if lang else ""
+        post[i] = ll, p, int(letters[0]), (host or "", "s" if host == "h1" else "")
+        said[names[i]] = said.get(names[i], np.zeros(n)) + p
+        own[post[i][3]] = own.get(post[i][3], np.zeros(n)) + p
+    base = sum(own.values()) + 1
+    base /= base.sum()
+    smooth = lambda o, up: (o + language.KAPPA * up) / (o.sum() + language.KAPPA)
+    by_suffix = {s: smooth(sum(v for (_, x), v in own.items() if x == s), base) for _, s in own}
+    by_lang = sum(said.values()) + 0.5 * len(said)
+    got = {r["doc_id"]: r for r in language.identify(records, (langs, table)).collect()}
+    for i, (ll, p, letters, key) in post.items():
+        w = ll + np.log(smooth(np.maximum(own[key] - p, 0), by_suffix[key[1]])) + np.log((said[names[i]] + 0.5) / by_lang)
+        q = np.exp(w - w.max()) / np.exp(w - w.max()).sum()
+        assert abs(got[i]["confidence"] - q.max()) < 1e-6 and q[langs.index(got[i]["lang"])] > q.max() - 1e-9
+        assert got[i]["accepted"] == (letters > 0 and got[i]["confidence"] >= language.CONFIDENCE)
+
+
+def test_language_of_clashing_and_repeated_rows(spark):
+    rows = [(1, "abcab cab", "aa", "h", 1)] * 30 + [(1, "ghihg ihg", "bb", "h", 1)] * 30 + [(None, "abc", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, _pl_k long").selectExpr("*", "'x' AS _PL_l", "'y' AS id", "'z' AS letters")
+    langs, table = language.train(docs)
+    of = lambda t: table[language.grams(np.frombuffer(t, np.uint8), np.array([0, len(t)]))[0]].sum(axis=0)
+    assert langs == ["aa", "bb"] and np.argmax(of(b"abcab cab")) == 0 and np.argmax(of(b"ghihg ihg")) == 1
+    kept = language.keep_accepted(docs)
+    assert kept.columns == docs.columns and kept.count() == 61 and {(r["_PL_l"], r["id"], r["letters"]) for r in kept.collect()} == {("x", "y", "z")}
+
+
 def test_language_of_pages(spark):
     pages = spark.createDataFrame([(1, "https://u@m.Example.FR:80/x?y", "<HTML dir=ltr LANG='fr-CA'><script>en</script><p>un&amp;deux</p><!-- en -->"), (2, None, None)], "page_id long, url string, html string")
     got = {r["page_id"]: r for r in language.page_records(pages).collect()}
@@ -302,6 +451,22 @@ def test_jaccard_against_brute_force(spark, edge, none, monkeypatch, block):
         assert sorted(str(r["doc_id"]) for r in jaccard.keep_one(lone).collect()) == ["3", "None"]
 
 
+def test_words_do_not_collide_by_structure(spark):
+    one, two = "a", "b"
+    for _ in range(10):
+        one, two = one + two, two + one
+    assert len(one) == 1024
+    found = {r["doc_id"]: r["component_id"] for r in jaccard.self_join(spark.createDataFrame([(1, one), (2, two), (3, "x " + one), (4, "x " + two), (5, one)], "doc_id long, text string")).collect()}
+    assert found == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+    a, b = (textscan.word_hashes(np.frombuffer(x.encode(), np.uint8), np.array([0]), np.array([1024])) for x in (one, two))
+    assert a != b and textscan.word_hashes(np.frombuffer(b"ab", np.uint8), np.array([0]), np.array([2])) != textscan.word_hashes(np.frombuffer(b"ba", np.uint8), np.array([0]), np.array([2]))
+
+
+def test_keep_one_keeps_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 7), (2, "a b c d e f", 8), (3, "q", 9)], "doc_id long, text string, _pl_id int")
+    assert sorted(tuple(r) for r in jaccard.keep_one(docs).collect()) == [(1, "a b c d e f", 7), (3, "q", 9)]
+
+
 def test_t_occurrence_search():
     rng = random.Random(4)
     base = [rng.sample(range(10_000), 60) for _ in range(6)]
@@ -348,6 +513,28 @@ def test_decontamination_against_brute_force(spark, edge, none, part_bytes):
     assert all(cut[i] == texts[i] for i in clean) and cut[0] is None and len(cut[len(texts) - 1].split()) == 0
     assert decontaminate.annotate(docs, bench.where("item_id < 0")).where("_found.n_hit > 0").count() == 0
     assert decontaminate.annotate(none, bench).count() == 0
+    with pytest.raises(ValueError):
+        decontaminate.annotate(docs.withColumnRenamed("text_", "_Found"), bench)
+
+
+def test_decontamination_in_parts(spark):
+    rng = random.Random(16)
+    pool = [words(rng, 12, 300) for _ in range(30)]
+    items = [(f"i{i}", rng.choice(pool) + " " + rng.choice(pool)) for i in range(60)]
+    texts = [" ".join(rng.choice(pool) + rng.choice(["", " x"]) for _ in range(rng.randrange(5))) for _ in range(60)] * 2
+    docs, bench = spark.createDataFrame(list(enumerate(texts)), "_pl_ta long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    whole = sorted(decontaminate.annotate(docs, bench).collect())
+    assert whole == sorted(decontaminate.annotate(docs, bench, part_bytes=900).collect())
+    assert {r["_pl_ta"]: (r["_found"]["n_words"], r["_found"]["n_hit"], r["_found"]["items"]) for r in whole} == {i: brute_hits(t, items) for i, t in enumerate(texts)}
+
+
+def test_windows_of_a_large_part_are_small():
+    import pickle
+
+    rng = random.Random(17)
+    text = words(rng, 200_000, 50_000)
+    windows = decontaminate.Windows([str(i) for i in range(100)], [text[i * len(text) // 100 : (i + 1) * len(text) // 100] for i in range(100)])
+    assert len(pickle.dumps(windows)) < decontaminate.BITMAP + 8 * len(text)
 
 
 # 10 --------------------------------------------------------------------------
@@ -468,5 +655,43 @@ def test_audio_frames_cover_the_end():
         other = data[:-48] + rng.randbytes(48)
         one, two = audio.describe(audio.to_wav(data)), audio.describe(audio.to_wav(other))
         samples = -(-n * 5 // 8)
+        one, two = ([*x[:6], [(a, b, m.tobytes()) for a, b, m in x[7]]] for x in (one, two))
         assert one[5] == two[5] and (one[5] - 1) * audio.HOP + audio.FRAME >= samples > (one[5] - 2) * audio.HOP + audio.FRAME * (one[5] > 1)
-        assert one[6] != two[6] and one[6][-1]["end_ms"] >= round(samples * 1000 / audio.NEW_RATE, 3)
+        assert one[6] != two[6] and one[6][-1][1] >= round(samples * 1000 / audio.NEW_RATE, 3)
+
+
+def test_log_mel_and_segments_against_direct_sums():
+    """Filterbanks, energies and segments by the definitions, without FFTs or strides."""
+    rng = random.Random(18)
+    data = b"".join(bytes(rng.randrange(120, 136) for _ in range(256)) if k % 5 else rng.randbytes(256) for k in range(12))
+    x = audio.resample(np.frombuffer(data, np.uint8) - 128.0).tolist()
+    n, hop, rate = audio.FRAME, audio.HOP, audio.NEW_RATE
+    many = 1 + max(0, -(-(len(x) - n) // hop))
+    x += [0.0] * ((many - 1) * hop + n - len(x))
+    to_mel = lambda f: 2595 * np.log10(1 + f / 700)
+    low, high = to_mel(60), to_mel(rate / 2)
+    edge = [700 * (10 ** ((low + (high - low) * i / (audio.MELS + 1)) / 2595) - 1) for i in range(audio.MELS + 2)]
+    angles = -2j * np.pi * np.outer(np.arange(n // 2 + 1), np.arange(n)) / n
+    mels, energy = [], []
+    for k in range(many):
+        frame = np.array([x[k * hop + i] * (0.5 - 0.5 * np.cos(2 * np.pi * i / (n - 1))) for i in range(n)])
+        power = np.abs(np.exp(angles) @ frame) ** 2
+        row = []
+        for b in range(audio.MELS):
+            total = 0.0
+            for i, p in enumerate(power):
+                f = i * rate / n
+                total += p * max(0.0, min((f - edge[b]) / (edge[b + 1] - edge[b]), (edge[b + 2] - f) / (edge[b + 2] - edge[b + 1])))
+            row.append(20 * np.log10(total + 1))
+        mels.append(row)
+        energy.append(round(10 * np.log10(power.sum() + 1), 2))
+    got, segments = audio.analyse(data)
+    assert got.shape == (many, audio.MELS) and np.abs(got - np.clip(mels, 0, 255)).max() <= 0.501
+    rest, on, spans = float(np.median(energy)), None, []
+    for k, e in enumerate([*energy, -1.0]):
+        if on is None and e > rest + audio.ON_DB:
+            on = k
+        elif on is not None and e < rest:
+            spans.append((on, k))
+            on = None
+    assert segments == spans and len(spans) > 1
