@@ -31,13 +31,31 @@ CSV_NA = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan",
 CSV_ENCODINGS = ("utf-8-sig", "cp1252", "latin-1")
 CSV_DELIMITERS = (",", ";", "\t", "|")
 
-# What the redacted view leaves out, and its bounds.
-LABEL_KEYS = ("top_values", "mode")
-LOCAL_KEYS = ("memory_bytes", "normality_p", "kurtosis", "coefficient_of_variation", "zscore_outlier_count", "zscore_outlier_pct", "empty_string_count", "distinct_real_values")
+# The bounds of the view that may leave the engine.
 VIEW_COLUMNS = 40
 VIEW_NAMES = 200
 VIEW_ISSUES = 8
 
+# Modules that suggested code may not import.
+FORBIDDEN_MODULES = (
+    "os", "sys", "subprocess", "shutil", "socket", "requests", "urllib", "urllib3", "http", "httpx", "aiohttp", "ftplib", "smtplib", "importlib",
+    "pickle", "shelve", "marshal", "joblib", "dill", "ctypes", "multiprocessing", "pathlib", "glob", "tempfile", "builtins", "runpy", "code", "webbrowser",
+)
+# Functions that suggested code may not call.
+FORBIDDEN_CALLS = ("eval", "exec", "compile", "__import__", "open", "input", "breakpoint", "globals", "locals", "vars", "getattr", "setattr", "delattr")
+# Methods of data libraries that read or write.
+FORBIDDEN_METHODS = (
+    "read_csv", "read_table", "read_fwf", "read_excel", "read_json", "read_html", "read_xml", "read_parquet", "read_orc", "read_feather", "read_hdf", "read_pickle", "read_sql", "read_sql_query", "read_sql_table", "read_stata", "read_sas", "read_spss", "read_clipboard",
+    "to_csv", "to_excel", "to_json", "to_html", "to_xml", "to_parquet", "to_orc", "to_feather", "to_hdf", "to_pickle", "to_sql", "to_stata", "to_clipboard",
+    "load", "loadtxt", "genfromtxt", "fromfile", "save", "savez", "savez_compressed", "savetxt", "tofile", "dump",
+)
+# Spark's own ways out of a DataFrame, and its readers.
+FORBIDDEN_SPARK = (
+    "write", "writeStream", "writeTo", "rdd", "_jvm", "_jdf", "_jsc", "saveAsTable", "insertInto", "addFile", "addPyFile", "addArtifact", "foreach", "foreachBatch", "foreachPartition",
+    "sparkContext", "toLocalIterator", "collect", "toPandas", "toArrow", "pandas_api", "createDataFrame",
+)
+FORBIDDEN_READERS = ("read", "readStream", "table", "sql")
+
 # The question that finds the advice for an issue; {type} is the semantic type.
 QUESTIONS = {
     "duplicate_rows": "how to detect and remove duplicate rows in a dataset",

@@ -6,12 +6,13 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import fixed
-from ..functions.kinds import kinds
-from ..functions.storage import gather, materialize
+from ..functions.kinds import col, kinds
+from ..functions.rounding import pct, rounded
 from . import dataset
-from .frequency import numeric_frequencies, other_frequencies, text_frequencies
+from .frequency import distinct_counts
 from .numeric import NumericStats
 from .textual import TextStats
 
@@ -29,11 +30,21 @@ TEXT = [
 ]
 TIMES = [("datetime_min", "timestamp", None), ("datetime_max", "timestamp", None), ("span_days", "double", 2), ("is_monotonic_increasing", "boolean", None)]
 FLAGS = [("true_count", "long", None), ("false_count", "long", None), ("true_pct", "double", 2)]
-COMMON = ["column_name", "ordinal", "dtype", "semantic_type", "rows", "missing_count", "missing_pct", "unique_count", "unique_pct", "is_constant", "is_unique_key", "all_missing"]
+#: A variant column may hold values of several types.
+MIXED = [("mixed_python_types", "boolean", None)]
+COMMON = [
+    ("column_name", "string", None), ("ordinal", "int", None), ("dtype", "string", None), ("semantic_type", "string", None), ("rows", "long", None), ("missing_count", "long", None), ("missing_pct", "double", 2),
+    ("unique_count", "long", None), ("unique_pct", "double", 2), ("is_constant", "boolean", None), ("is_unique_key", "boolean", None), ("all_missing", "boolean", None),
+]
+BLOCKS = {"numeric": NUMERIC, "categorical": TEXT, "datetime": TIMES, "boolean": FLAGS, "complex": MIXED}
+EVERY = COMMON + NUMERIC + TEXT + TIMES + FLAGS + MIXED
 
 
 class Profile:
-    """Statistics of a table. Nothing runs until a part is asked for; each part runs once."""
+    """Statistics of a table. Nothing runs until a part is asked for; each part runs once.
+
+    What reaches the driver has a row per column; there it is rounded and put together.
+    """
 
     def __init__(self, df: DataFrame, order_col: str | None = None):
         if not isinstance(df, DataFrame):
@@ -43,73 +54,92 @@ class Profile:
         self.df, self.order_col, self.kinds = df, order_col, kinds(df)
 
     @cached_property
-    def numeric_freq(self) -> DataFrame:
-        return materialize(numeric_frequencies(self.df), "numeric-frequencies")
+    def numeric(self) -> NumericStats:
+        return NumericStats(self.df)
 
     @cached_property
-    def text_freq(self) -> DataFrame:
-        return materialize(text_frequencies(self.df), "text-frequencies")
+    def text(self) -> TextStats:
+        return TextStats(self.df)
 
     @cached_property
-    def numeric(self) -> NumericStats:
-        names = [c for c, k in self.kinds.items() if k == "numeric"]
-        return NumericStats(self.numeric_freq.where(F.col("column_name").isin(names)))
+    def repeats(self) -> dict:
+        """n_rows, duplicate_rows, duplicate_rows_pct."""
+        return dataset.duplicate_rows(self.df).first().asDict()
 
     @cached_property
-    def text(self) -> TextStats:
-        return TextStats(self.text_freq)
+    def counts(self) -> dict[str, dict]:
+        """rows, missing, present and unique_count of every column."""
+        found = {r["column_name"]: r.asDict() for r in distinct_counts(self.df).collect()}
+        nothing = {"rows": 0, "missing": 0, "present": 0, "unique_count": 0}
+        return {c: found.get(c, nothing) for c in self.df.columns}
+
+    @cached_property
+    def common_rows(self) -> list[dict]:
+        """COMMON of every column, in order of the schema."""
+        n_rows, distinct = self.repeats["n_rows"], self.repeats["n_rows"] - self.repeats["duplicate_rows"]
+        out = []
+        for i, f in enumerate(self.df.schema.fields):
+            c = self.counts[f.name]
+            unique, present = c["unique_count"], c["present"]
+            key = c["missing"] == 0 and unique > 1 and unique == distinct and unique >= fixed.KEY_UNIQUE_SHARE * n_rows
+            out.append({
+                "column_name": f.name, "ordinal": i, "dtype": f.dataType.simpleString(), "semantic_type": self.kinds[f.name], "rows": n_rows, "missing_count": c["missing"], "missing_pct": pct(c["missing"], n_rows),
+                "unique_count": unique, "unique_pct": pct(unique, present), "is_constant": unique == 1, "is_unique_key": key, "all_missing": present == 0,
+            })
+        return out
 
     @cached_property
-    def duplicates(self) -> DataFrame:
-        return gather(dataset.duplicate_rows(self.df))
+    def times(self) -> dict[str, dict]:
+        names = [c for c, k in self.kinds.items() if k == "datetime"]
+        out = {r["column_name"]: r.asDict() for r in dataset.datetime_stats(self.df, names).collect()} if names else {}
+        for n in names if self.order_col else ():
+            out[n]["is_monotonic_increasing"] = dataset.monotonic(self.df, n, self.order_col).first()[1]
+        return out
 
     @cached_property
-    def cardinality(self) -> DataFrame:
-        """(column_name, rows, missing, present, unique_count) of every column."""
-        some = F.col("v").isNotNull()
-        count = lambda f: f.groupBy("column_name").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(~some, F.col("n"))), F.lit(0)).alias("missing"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("present"), F.count(F.when(some, 1)).alias("unique_count"))
-        return gather(count(self.numeric_freq).union(count(self.text_freq)).union(count(other_frequencies(self.df))))
+    def variants(self) -> dict[str, dict]:
+        names = [f.name for f in self.df.schema.fields if isinstance(f.dataType, T.VariantType)]
+        if not names:
+            return {}
+        row = self.df.agg(*[F.count_distinct(F.schema_of_variant(col(n))) for n in names]).first()
+        return {n: {"mixed_python_types": k > 1} for n, k in zip(names, row)}
 
     @cached_property
-    def common(self) -> DataFrame:
-        """COMMON for every column, in order of the schema."""
-        facts = [(f.name, i, f.dataType.simpleString(), self.kinds[f.name]) for i, f in enumerate(self.df.schema.fields)]
-        names = self.df.sparkSession.createDataFrame(facts, "column_name string, ordinal int, dtype string, semantic_type string")
-        rows = self.duplicates.select("n_rows", (F.col("n_rows") - F.col("duplicate_rows")).alias("distinct_rows"))
-        got = names.join(self.cardinality, "column_name", "left").join(F.broadcast(rows))  # one row
-        unique, present = F.coalesce("unique_count", F.lit(0)), F.coalesce("present", F.lit(0))
-        pct = lambda a, b: F.round(F.when(b > 0, 100 * a / b).otherwise(0.0), 2)
-        key = (F.coalesce("missing", F.lit(0)) == 0) & (unique > 1) & (unique == F.col("distinct_rows")) & (unique >= fixed.KEY_UNIQUE_SHARE * F.col("n_rows"))
-        return got.select(
-            "column_name", "ordinal", "dtype", "semantic_type", F.col("n_rows").alias("rows"), F.coalesce("missing", F.lit(0)).alias("missing_count"), pct(F.coalesce("missing", F.lit(0)), F.col("n_rows")).alias("missing_pct"),
-            unique.alias("unique_count"), pct(unique, present).alias("unique_pct"), (unique == 1).alias("is_constant"), key.alias("is_unique_key"), (present == 0).alias("all_missing"),
-        )
+    def rows(self) -> list[dict]:
+        """Everything, a dict per column, rounded; absent statistics are left out."""
+        flags = [c for c, k in self.kinds.items() if k == "boolean"]
+        parts = {
+            "numeric": self.numeric.table({c: x["unique_count"] for c, x in self.counts.items()}) if "numeric" in self.kinds.values() else {},
+            "categorical": self.text.table() if "categorical" in self.kinds.values() else {}, "datetime": self.times,
+            "boolean": {r["column_name"]: r.asDict() for r in dataset.boolean_stats(self.df, flags).collect()} if flags else {},
+            "complex": self.variants,
+        }
+        out = []
+        for row in self.common_rows:
+            own = parts[row["semantic_type"]].get(row["column_name"], {})
+            out.append(row | {n: rounded(own[n], d) for n, _, d in BLOCKS[row["semantic_type"]] if own.get(n) is not None})
+        return out
+
+    def frame(self, rows: list[dict], fields: list[tuple]) -> DataFrame:
+        return self.df.sparkSession.createDataFrame([tuple(r.get(n) for n, *_ in fields) for r in rows], ", ".join(f"{n} {t}" for n, t, _ in fields))
 
     @cached_property
-    def times(self) -> DataFrame:
-        names = [c for c, k in self.kinds.items() if k == "datetime"]
-        got = dataset.datetime_stats(self.numeric_freq, names)
-        if not self.order_col or not names:
-            return got.withColumn("is_monotonic_increasing", F.lit(None).cast("boolean"))
-        order = None
-        for n in names:
-            one = dataset.monotonic(self.df, n, self.order_col)
-            order = one if order is None else order.union(one)
-        return got.join(F.broadcast(order), "column_name", "left")
+    def common(self) -> DataFrame:
+        return self.frame(self.common_rows, COMMON)
 
     @cached_property
     def table(self) -> DataFrame:
-        """Everything, a row per column; absent statistics are null, floats rounded."""
-        flags = dataset.boolean_stats(self.numeric_freq, [c for c, k in self.kinds.items() if k == "boolean"])
-        got = self.common
-        for part, wanted in ((self.numeric.table, NUMERIC), (self.text.table, TEXT), (self.times, TIMES), (flags, FLAGS)):
-            picked = [F.round(n, d).alias(n) if d is not None else F.col(n).cast(t).alias(n) for n, t, d in wanted]
-            got = got.join(F.broadcast(gather(part.select("column_name", *picked))), "column_name", "left")
-        return gather(got)
+        """``rows`` as a table; absent statistics are null."""
+        return self.frame(self.rows, EVERY)
+
+    @cached_property
+    def overall(self) -> dict:
+        """Rows, columns, cells, missing cells, repeated rows."""
+        missing = sum(c["missing"] for c in self.counts.values())
+        cells = self.repeats["n_rows"] * len(self.df.columns)
+        return {"n_rows": self.repeats["n_rows"], "n_columns": len(self.df.columns), "n_cells": cells, "missing_cells": missing, "missing_cells_pct": pct(missing, cells), "duplicate_rows": self.repeats["duplicate_rows"], "duplicate_rows_pct": self.repeats["duplicate_rows_pct"]}
 
     @cached_property
     def dataset(self) -> DataFrame:
-        """One row: rows, columns, cells, missing cells, repeated rows."""
-        missing = self.common.agg(F.sum("missing_count").alias("missing_cells"))
-        cells = F.col("n_rows") * len(self.df.columns)
-        return self.duplicates.join(missing).select("n_rows", F.lit(len(self.df.columns)).cast("long").alias("n_columns"), cells.alias("n_cells"), "missing_cells", F.round(F.when(cells > 0, 100 * F.col("missing_cells") / cells).otherwise(0.0), 2).alias("missing_cells_pct"), "duplicate_rows", "duplicate_rows_pct")
+        """``overall`` as a table of one row."""
+        return self.df.sparkSession.createDataFrame([tuple(self.overall.values())], "n_rows long, n_columns long, n_cells long, missing_cells long, missing_cells_pct double, duplicate_rows long, duplicate_rows_pct double")

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.kinds import col, kinds, without_nan
+from ..functions.rounding import pct
 
 
 def row_key(df: DataFrame) -> Column:
@@ -24,21 +23,31 @@ def row_key(df: DataFrame) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
+def _table(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """Statistics that were worked out and rounded on the driver, a row or one per column."""
+    return df.sparkSession.createDataFrame(rows, schema)
+
+
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """(n_rows, duplicate_rows, duplicate_rows_pct): rows equal to an earlier one. Only keys are shuffled."""
     df = without_nan(df)
     groups = df.select(row_key(df).alias("k")).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    got = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_rows"))
-    return got.withColumn("duplicate_rows_pct", F.round(F.when(F.col("n_rows") > 0, 100 * F.col("duplicate_rows") / F.col("n_rows")).otherwise(0.0), 2))
+    n, distinct = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    return _table(df, [(n, n - distinct, pct(n - distinct, n))], "n_rows long, duplicate_rows long, duplicate_rows_pct double")
 
 
-def overview(df: DataFrame) -> DataFrame:
-    """(n_rows, n_columns, n_cells, missing_cells, missing_cells_pct) in one scan without a shuffle of rows."""
+def _missing(df: DataFrame) -> tuple[int, list[int]]:
+    """Rows, and missing values by column, in one scan without a shuffle of rows."""
     df = without_nan(df)
-    missing = reduce(lambda a, b: a + b, [F.count_if(col(c).isNull()) for c in df.columns])
-    got = df.agg(F.count(F.lit(1)).alias("n_rows"), missing.alias("missing_cells"))
-    cells = F.col("n_rows") * len(df.columns)
-    return got.select("n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), cells.alias("n_cells"), "missing_cells", F.round(F.when(cells > 0, 100 * F.col("missing_cells") / cells).otherwise(0.0), 2).alias("missing_cells_pct"))
+    row = df.agg(F.count(F.lit(1)), *[F.count_if(col(c).isNull()) for c in df.columns]).first()
+    return row[0], list(row[1:])
+
+
+def overview(df: DataFrame) -> DataFrame:
+    """(n_rows, n_columns, n_cells, missing_cells, missing_cells_pct)."""
+    n, missing = _missing(df)
+    cells = n * len(df.columns)
+    return _table(df, [(n, len(df.columns), cells, sum(missing), pct(sum(missing), cells))], "n_rows long, n_columns long, n_cells long, missing_cells long, missing_cells_pct double")
 
 
 def column_types(df: DataFrame) -> DataFrame:
@@ -50,11 +59,9 @@ def column_types(df: DataFrame) -> DataFrame:
 
 
 def column_missing(df: DataFrame) -> DataFrame:
-    """(column_name, missing_count, missing_pct) of every column, in one scan."""
-    df = without_nan(df)
-    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.count_if(col(c).isNull()).alias("missing_count")) for c in df.columns])
-    got = df.agg(F.count(F.lit(1)).alias("rows"), pairs.alias("x")).select("rows", F.inline("x"))
-    return got.select("column_name", "missing_count", F.round(F.when(F.col("rows") > 0, 100 * F.col("missing_count") / F.col("rows")).otherwise(0.0), 2).alias("missing_pct"))
+    """(column_name, missing_count, missing_pct) of every column."""
+    n, missing = _missing(df)
+    return _table(df, [(c, m, pct(m, n)) for c, m in zip(df.columns, missing)], "column_name string, missing_count long, missing_pct double")
 
 
 def estimated_bytes(df: DataFrame) -> DataFrame:
@@ -88,18 +95,18 @@ def monotonic(df: DataFrame, column: str, order: str) -> DataFrame:
     return met.agg(good.alias("is_monotonic_increasing")).select(F.lit(column).alias("column_name"), "is_monotonic_increasing")
 
 
-def datetime_stats(freq: DataFrame, names: list[str]) -> DataFrame:
-    """(column_name, datetime_min, datetime_max, span_days) of datetime columns of a numeric frequency table."""
-    got = freq.where(F.col("column_name").isin(names) & F.col("k").isNotNull()).groupBy("column_name").agg(F.min("k").alias("a"), F.max("k").alias("b"))
-    return got.select("column_name", F.timestamp_micros("a").alias("datetime_min"), F.timestamp_micros("b").alias("datetime_max"), F.round((F.col("b") - F.col("a")) / F.lit(86400e6), 2).alias("span_days"))
+def datetime_stats(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column_name, datetime_min, datetime_max, span_days) of datetime columns that have values."""
+    times = [F.struct(F.lit(n).alias("column_name"), F.unix_micros(F.min(col(n)).cast("timestamp")).alias("a"), F.unix_micros(F.max(col(n)).cast("timestamp")).alias("b")) for n in names]
+    got = df.agg(F.array(*times).alias("x")).select(F.inline("x")).where("a IS NOT NULL")
+    return got.select("column_name", F.timestamp_micros("a").alias("datetime_min"), F.timestamp_micros("b").alias("datetime_max"), F.bround((F.col("b") - F.col("a")) / F.lit(86400e6), 2).alias("span_days"))
 
 
-def boolean_stats(freq: DataFrame, names: list[str]) -> DataFrame:
-    """(column_name, true_count, false_count, true_pct) of boolean columns of a numeric frequency table."""
-    n = lambda x: F.coalesce(F.sum(F.when(F.col("v") == x, F.col("n"))), F.lit(0))
-    got = freq.where(F.col("column_name").isin(names)).groupBy("column_name").agg(n(1.0).alias("true_count"), n(0.0).alias("false_count"))
-    total = F.col("true_count") + F.col("false_count")
-    return got.withColumn("true_pct", F.when(total > 0, F.round(100 * F.col("true_count") / total, 2)).otherwise(0.0))
+def boolean_stats(df: DataFrame, names: list[str]) -> DataFrame:
+    """(column_name, true_count, false_count, true_pct) of boolean columns."""
+    row = df.agg(*[F.count_if(col(n) == v) for n in names for v in (True, False)]).first()
+    rows = [(n, row[2 * i], row[2 * i + 1], pct(row[2 * i], row[2 * i] + row[2 * i + 1])) for i, n in enumerate(names)]
+    return _table(df, rows, "column_name string, true_count long, false_count long, true_pct double")
 
 
 def sample_exact(df: DataFrame, k: int, key: str, seed: int = 0) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Text statistics from a frequency table (column_name, v, chars, n)."""
+"""Text statistics from a frequency table (column_name, v, chars, seen, n)."""
 
 from __future__ import annotations
 
@@ -9,36 +9,35 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.storage import gather, materialize
+from .frequency import KEY_CHARS, text_frequencies, texts_of_digests
 
 TOP = 10
 
 
 class TextStats:
-    """Statistics of all text columns; each distinct value is looked at once."""
+    """Statistics of all text columns of a table; each distinct value is looked at once."""
 
-    def __init__(self, freq: DataFrame):
-        self.freq = freq
+    def __init__(self, df: DataFrame):
+        self.df = df
 
     @cached_property
-    def values(self) -> DataFrame:
-        """Present values with what they are: placeholder, number as is, number once cleaned, time."""
-        v = F.col("v")
-        short = ~v.startswith("sha256:") | (F.col("chars") < 64)
-        seen = self.freq.where(v.isNotNull()).withColumn("placeholder", short & text.is_placeholder(v)).withColumn("blank", short & (text.stripped(v) == ""))
-        seen = seen.withColumn("raw", short & text.to_number(v).isNotNull()).withColumn("clean", short & text.to_number(text.undecorated(v)).isNotNull())
-        return materialize(seen.withColumn("at", F.when(short, text.to_timestamp(v))), "text-values")
+    def freq(self) -> DataFrame:
+        return materialize(text_frequencies(self.df), "text-frequencies")
 
     @cached_property
-    def totals(self) -> DataFrame:
-        some = F.col("v").isNotNull()
-        n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
-        return self.freq.groupBy("column_name").agg(F.sum("n").alias("rows"), n(~some).alias("missing"), n(some).alias("present"), F.count(F.when(some, 1)).alias("unique_count"))
+    def values(self) -> DataFrame:
+        """Present values with what they are: placeholder, number as is, number once cleaned, time."""
+        seen = self.freq.where("v IS NOT NULL").withColumn("seen", F.coalesce("seen", text.reading(F.col("v"))))
+        return materialize(seen.select("column_name", "chars", "n", "seen.*"), "text-values")
 
     @cached_property
     def ranked(self) -> DataFrame:
-        """(column_name, place, v, n): the ten most frequent values, ties by value."""
+        """(column_name, place, v, n): the ten most frequent values, ties by value (of long texts by digest)."""
         order = Window.partitionBy("column_name").orderBy(F.desc("n"), "v")
-        return self.freq.where("v IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TOP).select("column_name", "place", "v", "n")
+        first = self.freq.where("v IS NOT NULL").withColumn("place", F.row_number().over(order)).where(F.col("place") <= TOP).select("column_name", "place", "v", "n", "chars")
+        rows = [tuple(r) for r in first.collect()]  # ten rows per column
+        whole = texts_of_digests(self.df, [(c, v) for c, _, v, _, chars in rows if chars > KEY_CHARS])
+        return self.df.sparkSession.createDataFrame([(c, p, whole.get((c, v), v), n) for c, p, v, n, _ in rows], "column_name string, place int, v string, n long")
 
     @cached_property
     def shares(self) -> DataFrame:
@@ -46,13 +45,12 @@ class TextStats:
         n = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
         real = ~F.col("placeholder")
         counts = self.values.groupBy("column_name").agg(
-            (F.sum(F.col("chars") * F.col("n")) / F.sum("n")).alias("mean_length"), F.max("chars").alias("max_length"), n(F.col("blank")).alias("empty_string_count"), n(F.col("placeholder")).alias("missing_placeholder_count"),
+            F.sum("n").alias("present"), (F.sum(F.col("chars") * F.col("n")) / F.sum("n")).alias("mean_length"), F.max("chars").alias("max_length"), n(F.col("blank")).alias("empty_string_count"), n(F.col("placeholder")).alias("missing_placeholder_count"),
             n(real).alias("real"), n(real & F.col("raw")).alias("raw"), n(real & F.col("clean")).alias("clean"), n(real & F.col("at").isNotNull()).alias("dated"),
-            F.min(F.when(real, F.col("at"))).alias("first"), F.max(F.when(real, F.col("at"))).alias("last"),
         )
         share = lambda c: F.when(F.col("real") > 0, F.col(c) / F.col("real")).otherwise(0.0)
         got = counts.withColumn("raw_fraction", share("raw")).withColumn("clean_fraction", share("clean")).withColumn("datetime_fraction", share("dated"))
-        got = got.withColumn("numeric_fraction", F.round("clean_fraction", 3)).withColumn("looks_numeric", F.col("clean_fraction") > 0.9).withColumn("looks_datetime", F.col("datetime_fraction") > 0.9)
+        got = got.withColumn("numeric_fraction", F.col("clean_fraction")).withColumn("looks_numeric", F.col("clean_fraction") > 0.9).withColumn("looks_datetime", F.col("datetime_fraction") > 0.9)
         return gather(got.withColumn("numeric_needs_cleaning", F.col("looks_numeric") & (F.col("raw_fraction") < F.col("clean_fraction"))))
 
     @cached_property
@@ -62,10 +60,16 @@ class TextStats:
         at = self.values.where("NOT placeholder AND at IS NOT NULL").join(dates, "column_name", "left_semi")
         months = at.groupBy("column_name", F.date_trunc("month", "at").alias("month")).agg(F.min("at").alias("a"), F.max("at").alias("b"))
         got = months.groupBy("column_name").agg(F.min("a").alias("datetime_min"), F.max("b").alias("datetime_max"), F.countDistinct(F.year("month")).alias("distinct_years"), F.count(F.lit(1)).alias("distinct_months"))
-        return got.withColumn("datetime_span_days", F.round((F.unix_micros("datetime_max") - F.unix_micros("datetime_min")) / F.lit(86400e6), 1))
+        return got.withColumn("datetime_span_days", (F.unix_micros("datetime_max") - F.unix_micros("datetime_min")) / F.lit(86400e6))
 
-    @cached_property
-    def table(self) -> DataFrame:
-        top = self.ranked.groupBy("column_name").agg(F.sort_array(F.collect_list(F.struct("place", "v", "n"))).alias("t"))
-        top = top.select("column_name", F.col("t")[0]["v"].alias("mode"), F.col("t")[0]["n"].alias("mode_freq"), F.transform("t", lambda x: F.struct(x["v"].alias("value"), x["n"].alias("n"))).alias("top_values"))
-        return self.totals.join(F.broadcast(top), "column_name", "left").join(F.broadcast(self.shares), "column_name", "left").join(F.broadcast(self.spans), "column_name", "left").withColumn("mode_pct", 100 * F.col("mode_freq") / F.col("present"))
+    def table(self) -> dict[str, dict]:
+        """All of it by column, unrounded."""
+        out = {r["column_name"]: r.asDict() for r in self.shares.collect()}  # a row per column
+        for r in self.spans.collect():
+            out[r["column_name"]] |= r.asDict()
+        top: dict[str, list] = {}
+        for r in sorted(self.ranked.collect(), key=lambda r: r["place"]):
+            top.setdefault(r["column_name"], []).append({"value": r["v"], "n": r["n"]})
+        for name, values in top.items():
+            out[name] |= {"mode": values[0]["value"], "mode_freq": values[0]["n"], "mode_pct": 100 * values[0]["n"] / out[name]["present"], "top_values": values}
+        return out

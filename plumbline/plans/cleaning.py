@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..functions.kinds import col
+from ..functions.storage import materialize
 from ..functions.text import stripped, to_number, to_timestamp, undecorated
-from ..operators.frequency import numeric_frequencies
-from ..operators.numeric import exact_quantiles
+from ..operators.numeric import cells, exact_quantiles
 from .suggest import CodeSuggestion
 
 
@@ -26,8 +29,9 @@ def deduplicate(df: DataFrame, keys: list[str] | None = None, latest: str | None
 
 
 def codes_to_null(df: DataFrame, name: str, codes: list[float]) -> DataFrame:
-    bad = col(name).isin(*codes) | (F.abs(col(name)) == F.lit(float("inf")))
-    return df.withColumn(name, F.when(~bad, col(name)))
+    """Infinite values and the codes, if there are any, become null."""
+    bad = F.abs(col(name)) == F.lit(float("inf"))
+    return df.withColumn(name, F.when(~(bad | col(name).isin(*codes) if codes else bad), col(name)))
 
 
 def text_to_number(df: DataFrame, name: str) -> DataFrame:
@@ -46,9 +50,9 @@ def normalise_text(df: DataFrame, name: str) -> DataFrame:
 
 def quantiles(df: DataFrame, name: str, points: tuple[float, ...]) -> list[float]:
     """Exact quantiles of one column's finite values."""
-    freq = numeric_frequencies(df, [name]).where("v IS NOT NULL AND abs(v) != double('Infinity')")
-    row = exact_quantiles(freq, points).first()
-    return [row[f"q{i}"] for i in range(len(points))] if row else [None] * len(points)
+    values = cells(df, [name]).where("v IS NOT NULL AND abs(v) != double('Infinity')")
+    n, low, high = values.agg(F.count(F.lit(1)), F.min("v"), F.max("v")).first()
+    return exact_quantiles(values, {0: (n, low, high)}, points)[0] if n else [None] * len(points)
 
 
 def impute_median(df: DataFrame, name: str) -> DataFrame:
@@ -79,8 +83,6 @@ def unskew(df: DataFrame, name: str) -> DataFrame:
     x = col(name).cast("double")
     slope = F.sum(F.signum(x) * F.log1p(F.abs(x)))
     facts = df.where(x.isNotNull()).agg(F.count(F.lit(1)).alias("n"), slope.alias("slope"), *[F.var_pop(yeo_johnson(x, g)).alias(f"v{i}") for i, g in enumerate(grid)]).first()
-    import math
-
     score = {g: -facts["n"] / 2 * math.log(facts[f"v{i}"]) + (g - 1) * facts["slope"] for i, g in enumerate(grid) if facts[f"v{i}"]}
     return df.withColumn(name, yeo_johnson(x, max(score, key=score.get))) if score else df
 
@@ -91,6 +93,14 @@ def yeo_johnson(x, power: float):
     return F.when(x >= 0, up).otherwise(down)
 
 
+def levels(df: DataFrame, name: str) -> list[str]:
+    """The distinct values of a column of few, in order. More than ``MANY_LEVELS`` are an error."""
+    found = [r[0] for r in df.where(col(name).isNotNull()).select(col(name)).distinct().limit(fixed.MANY_LEVELS + 1).collect()]
+    if len(found) > fixed.MANY_LEVELS:
+        raise ValueError(f"{name!r} has over {fixed.MANY_LEVELS} levels")
+    return sorted(found)
+
+
 def one_hot(df: DataFrame, name: str, levels: list[str]) -> DataFrame:
     return df.withColumns({f"{name}_{v}": (col(name) == v).cast("int") for v in levels}).drop(name)
 
@@ -100,8 +110,8 @@ def ordinal(df: DataFrame, name: str, levels: list[str]) -> DataFrame:
 
 
 def frequency_encode(df: DataFrame, name: str) -> DataFrame:
-    """Each value's share of rows; a hot value's group is a row, joined by adaptive execution."""
-    counts = df.groupBy(col(name).alias("_pl_v")).agg(F.count(F.lit(1)).alias("_pl_n"))
+    """Each value's share of rows. The shares are written, so that adaptive execution can broadcast them or split a hot value."""
+    counts = materialize(df.groupBy(col(name).alias("_pl_v")).agg(F.count(F.lit(1)).alias("_pl_n")), "level-counts")
     total = df.count()
     return df.join(counts, col(name).eqNullSafe(F.col("_pl_v"))).withColumn(name, F.col("_pl_n") / F.lit(total)).drop("_pl_v", "_pl_n")
 
@@ -109,7 +119,7 @@ def frequency_encode(df: DataFrame, name: str) -> DataFrame:
 def target_encode(df: DataFrame, name: str, target: str, smoothing: float = 20.0) -> DataFrame:
     """The target's mean by level, smoothed towards its mean overall. Fit on training rows only."""
     mean = df.agg(F.avg(col(target))).first()[0]
-    sums = df.groupBy(col(name).alias("_pl_v")).agg(F.count(col(target)).alias("_pl_n"), F.coalesce(F.sum(col(target)), F.lit(0.0)).alias("_pl_s"))
+    sums = materialize(df.groupBy(col(name).alias("_pl_v")).agg(F.count(col(target)).alias("_pl_n"), F.coalesce(F.sum(col(target)), F.lit(0.0)).alias("_pl_s")), "level-sums")
     value = (F.col("_pl_s") + F.lit(smoothing * (mean or 0.0))) / (F.col("_pl_n") + F.lit(smoothing))
     return df.join(sums, col(name).eqNullSafe(F.col("_pl_v"))).withColumn(name, value).drop("_pl_v", "_pl_s", "_pl_n")
 
@@ -138,7 +148,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_pl_place", place).where("_pl_place = 1").drop("_pl_place")
 
 
-#: Issue type -> (step of 1 to 8, code); {c} is the column as a Python text.
+#: Issue type -> (step of 1 to 8, code); {c} is the column as a Python text. Steps of one column and number are in this order.
 TEMPLATES = {
     "empty_column": (1, "df = df.drop({c})"),
     "constant_column": (1, "df = df.drop({c})"),
@@ -154,10 +164,10 @@ TEMPLATES = {
     "low_missing": (4, "df = df.dropna(subset=[{c}])"),
     "outliers": (5, "from plumbline.plans import cleaning\ndf = cleaning.winsorize(df, {c})  # fit on training rows only"),
     "high_skew": (6, "from plumbline.plans import cleaning\ndf = cleaning.unskew(df, {c})  # fit on training rows only"),
-    "high_cardinality": (7, "from plumbline.plans import cleaning\ndf = cleaning.frequency_encode(df, {c})  # fit on training rows only"),
-    "needs_encoding": (7, "from plumbline.plans import cleaning\ndf = cleaning.one_hot(df, {c}, {levels})"),
     "imbalanced_category": (7, "from plumbline.plans import cleaning\ndf = cleaning.top_levels(df, {c}, 1)"),
-    "mixed_feature_scales": (8, "from plumbline.plans import cleaning\nfor name in {scaled}:\n    df = cleaning.scale(df, name)  # fit on training rows only"),
+    "high_cardinality": (7, "from plumbline.plans import cleaning\ndf = cleaning.frequency_encode(df, {c})  # fit on training rows only"),
+    "needs_encoding": (7, "from plumbline.plans import cleaning\ndf = cleaning.one_hot(df, {c}, cleaning.levels(df, {c}))  # levels of training rows only"),
+    "mixed_feature_scales": (8, "from plumbline.plans import cleaning\nfor name in {scaled}:\n    df = cleaning.scale(df, name) if name in df.columns else df  # fit on training rows only"),
 }
 
 
@@ -168,13 +178,14 @@ class Templates:
 
     def suggest(self, system: str, user: str, request: dict) -> CodeSuggestion:
         issues, column = request["issues"], request["column"]
-        steps = sorted((TEMPLATES[i["issue_type"]], i["issue_type"]) for i in issues)
+        place = list(TEMPLATES)
+        steps = sorted(((TEMPLATES[i["issue_type"]], i["issue_type"]) for i in issues), key=lambda x: (x[0][0], place.index(x[1])))
         stats = request["stats"]["columns"].get(column, {})
-        known = {"c": repr(column), "codes": repr([float(c) for c in stats.get("sentinel_values", {})] or [float(2**53)]), "impute": "impute_median" if stats.get("semantic_type") == "numeric" else "impute_label",
-                 "levels": "levels", "scaled": repr([c for c, s in request["stats"]["columns"].items() if s["semantic_type"] == "numeric" and c != request["stats"]["dataset"].get("target")])}
+        known = {"c": repr(column), "codes": repr([float(c) for c in stats.get("sentinel_values", {})]), "impute": "impute_median" if stats.get("semantic_type") == "numeric" else "impute_label",
+                 "scaled": repr([c for c, s in request["stats"]["columns"].items() if s["semantic_type"] == "numeric" and c != request["stats"]["dataset"].get("target")])}
         if steps[0][0][0] == 1 and column is not None:
             steps = steps[:1]  # a dropped column needs no more
-        lines: list[str] = ["# levels: the distinct values of the column, which are data and so aren't shown here"] if any("{levels}" in code for (_, code), _ in steps) else []
+        lines: list[str] = []
         for (_, code), _ in steps:
             lines += [x for x in code.format(**known).split("\n") if not (x.startswith("from ") and x in lines)]
         section = request["context"][0]["text"].split("\n\n")[-1] if request["context"] else "; ".join(i["detail"] for i in issues)

@@ -1,14 +1,14 @@
 """A provider that asks a hosted model over HTTP in the common chat-completions form.
 
 Which model, where and with which key comes from a ModelConfig or the environment
-(PLUMBLINE_MODEL, PLUMBLINE_URL, PLUMBLINE_API_KEY); nothing is contacted unless a
-HostedModel is made and asked. Tests pass their own ``send``.
+(``providers``); nothing is contacted unless a HostedModel is made and asked. Tests pass their own ``send``.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import urllib.error
 import urllib.request
 from collections.abc import Callable
@@ -22,7 +22,11 @@ class AuthError(SuggestionError):
 
 
 class RateError(SuggestionError):
-    """Too many requests, or the quota is used up."""
+    """Too many requests in a while; a later try may work."""
+
+
+class QuotaError(SuggestionError):
+    """What was paid for is used up; trying again doesn't help."""
 
 
 class OverloadError(SuggestionError):
@@ -46,11 +50,36 @@ class ModelConfig:
     timeout: float = 60.0
 
 
-def default_config(environ=os.environ) -> ModelConfig:
-    missing = [k for k in ("PLUMBLINE_MODEL", "PLUMBLINE_URL", "PLUMBLINE_API_KEY") if not environ.get(k)]
+def providers(environ) -> dict[str, dict]:
+    """Providers that the environment describes: PLUMBLINE_<NAME>_URL, _MODEL and _API_KEY, and an unnamed one without <NAME>."""
+    found: dict[str, dict] = {}
+    for key, value in environ.items():
+        m = re.fullmatch(r"PLUMBLINE(?:_([A-Z0-9]+))?_(URL|MODEL|API_KEY)", key)
+        if m and value.strip():
+            found.setdefault((m[1] or "").lower(), {})[m[2].lower()] = value.strip()
+    return found
+
+
+def default_config(environ=os.environ, provider: str | None = None, model: str | None = None, api_key: str | None = None) -> ModelConfig:
+    """The settings to use. Arguments win over PLUMBLINE_PROVIDER, that over the only, or first by name, provider with a key.
+
+    PLUMBLINE_MODEL is for the provider that the environment chooses and doesn't follow an argument to another one.
+    """
+    known = providers(environ)
+    keyed = sorted(name for name, own in known.items() if own.get("api_key"))
+    chosen = environ.get("PLUMBLINE_PROVIDER", "").strip().lower()
+    chosen = chosen if chosen and chosen in known else next(iter(keyed), "")
+    name = chosen if provider is None else provider.lower()
+    if provider is not None and name not in known:
+        raise ValueError(f"there is no provider {provider!r}; known are {', '.join(sorted(known)) or 'none'}")
+    own = dict(known.get(name, {}))
+    if name == chosen and environ.get("PLUMBLINE_MODEL"):
+        own["model"] = environ["PLUMBLINE_MODEL"]
+    own |= {k: v for k, v in (("model", model), ("api_key", api_key)) if v}
+    missing = [k for k in ("model", "url", "api_key") if not own.get(k)]
     if missing:
-        raise AuthError(f"not set: {', '.join(missing)}")
-    return ModelConfig(environ["PLUMBLINE_MODEL"], environ["PLUMBLINE_URL"], environ["PLUMBLINE_API_KEY"])
+        raise AuthError(f"not set for provider {name!r}: {', '.join(missing)}")
+    return ModelConfig(own["model"], own["url"], own["api_key"])
 
 
 def http_send(config: ModelConfig, body: dict) -> tuple[int, dict]:
@@ -86,6 +115,10 @@ class HostedModel:
         told = str((answer.get("error") or {}).get("message", "") if isinstance(answer.get("error"), dict) else answer.get("error") or "")[:200]
         if status in (401, 403):
             raise AuthError(told or "the key was rejected")
+        error = answer.get("error")
+        kind = " ".join(str(error.get(k, "")) for k in ("code", "type")) if isinstance(error, dict) else ""
+        if status == 402 or status == 429 and re.search("quota|credit|billing|balance", kind):
+            raise QuotaError(told or "the quota is used up")
         if status == 429:
             raise RateError(told or "too many requests")
         if status >= 500:

@@ -37,21 +37,17 @@ class CodeSuggestion:
     def __post_init__(self):
         self.execution_order = min(8, max(1, int(self.execution_order)))
 
-    @property
-    def syntax_error(self) -> str | None:
+    def faults(self) -> list[str]:
+        """Why the code may not stand: where it doesn't parse, else what it may not do."""
         try:
             ast.parse(self.python_code)
         except SyntaxError as e:
-            return f"line {e.lineno}: {e.msg}"
-        return None
-
-    @property
-    def safety_warnings(self) -> list[str]:
+            return [f"line {e.lineno}: {e.msg}"]
         return scan_code(self.python_code)
 
     @property
     def is_safe_and_valid(self) -> bool:
-        return not self.syntax_error and not self.safety_warnings
+        return self.faults() == []
 
     @staticmethod
     def schema() -> dict:
@@ -83,13 +79,24 @@ def refuse_rows(value) -> None:
             refuse_rows(v)
 
 
+ASK = "Find the most important problem in these statistics and write code that mends it."
+
+
 def build_prompt(stats: dict | str, context: list[dict] | str, task: str | None = None) -> tuple[str, str]:
-    """(system, user) texts of one request."""
+    """(system, user) texts of one request: parts under headings, none left out for want of content."""
     refuse_rows(stats)
-    facts = stats if isinstance(stats, str) else json.dumps(stats, indent=1, default=lambda v: v.item() if hasattr(v, "item") else str(v))
-    passages = context if isinstance(context, str) else "\n\n".join(f"({n}) {h.get('section', '')}\n{h.get('text', '')}" for n, h in enumerate(context, 1))
-    task = task or "Find the most important problem in these statistics and write code that mends it."
-    return RULES, f"STATISTICS\n{facts}\n\nADVICE\n{passages.strip() or '(none found)'}\n\nTASK\n{task}\n"
+    parts = {"STATISTICS": stats, "ADVICE": context, "TASK": task or ASK}
+    return RULES, "".join(f"{title}\n{_told(part).strip() or '(none)'}\n\n" for title, part in parts.items())
+
+
+def _told(part) -> str:
+    """A part of a prompt: texts as they are, passages numbered under their section, statistics as JSON."""
+    if isinstance(part, str):
+        return part
+    if isinstance(part, list):
+        numbered = (f"({n}) {p.get('section', '')}\n{p.get('text', '')}" for n, p in enumerate(part, 1))
+        return "\n\n".join(numbered)
+    return json.dumps(part, indent=1, default=str)
 
 
 def select_issues(issues: list[dict], n: int) -> list[dict]:
@@ -145,20 +152,22 @@ class Planner:
         return sorted((self.ask(r) for r in plan_requests(report, issues)), key=lambda s: s.execution_order)
 
 
-def _line(text) -> str:
-    return " ".join(str(text).split())
+def _comment(*texts) -> list[str]:
+    """Each text as one comment line, whatever line ends it holds."""
+    return ["# " + " ".join(str(t).split()) for t in texts]
 
 
 def build_script(suggestions: list[CodeSuggestion], name: str = "dataset", known_columns=None, read_call: str | None = None) -> str:
     """A .py text in which only checked code is live; all else is comment."""
-    out = [f"# Cleaning steps for {_line(name)}", "# df is the table, F is pyspark.sql.functions."]
-    if read_call:
-        out.append(f"# It was read by: {_line(read_call)}")
+    blocks = [_comment(f"Cleaning steps for {name}", "df is the table, F is pyspark.sql.functions.", *([f"It was read by: {read_call}"] if read_call else []))]
     for n, s in enumerate(suggestions, 1):
-        out += ["", f"# {n}. {_line(s.issue_detected)}", f"# {_line(s.theory_explanation)}"]
-        if s.is_safe_and_valid:
-            missing = unknown_columns(s.python_code, known_columns) if known_columns else []
-            out += [f"# CHECK: no such columns: {_line(', '.join(missing))}"] * bool(missing) + [s.python_code]
-        else:
-            out += [f"# NOT LIVE: {_line('; '.join([s.syntax_error] if s.syntax_error else s.safety_warnings))}", *(f"# {x}" for x in s.python_code.splitlines())]
-    return "\n".join(out) + "\n"
+        blocks.append(_comment(f"{n}. {s.issue_detected}", s.theory_explanation) + _step(s, known_columns))
+    return "\n\n".join("\n".join(lines) for lines in blocks) + "\n"
+
+
+def _step(s: CodeSuggestion, known_columns) -> list[str]:
+    faults = s.faults()
+    if faults:
+        return _comment("NOT LIVE: " + "; ".join(faults)) + ["# " + line for line in s.python_code.splitlines()]
+    invented = unknown_columns(s.python_code, known_columns) if known_columns else []
+    return _comment(*(["CHECK: no such columns: " + ", ".join(invented)] if invented else [])) + [s.python_code]

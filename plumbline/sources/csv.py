@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,17 +48,20 @@ def header_names(line: str, sep: str) -> list[str]:
 def read_csv(spark: SparkSession, path: str, sep: str | None = None, encoding: str | None = None, max_rows: int | None = None, seed: int = 0, infer: bool = True) -> tuple[DataFrame, dict]:
     """(table, {sep, encoding, names}). All rows are read unless max_rows asks for an exact-size hash sample.
 
-    Only the file's head is looked at on the driver; an encoding is accepted for
-    the whole file if a distributed scan finds no byte that it can't decode.
+    Only the file's head is looked at on the driver. One distributed scan of all
+    lines finds the encoding that decodes every byte, and whether a quoted value
+    holds a line end. If none does, files are split among tasks; if one does, Spark
+    reads a file in one task, as no one else can tell where its records begin.
     """
     data = _head(spark, path)
     sep = sep or detect_delimiter(data)
-    encoding = encoding or _whole_encoding(spark, path, data)
+    known, multiline = _scan(spark, path)
+    encoding = encoding or known
     first = data.split(b"\n", 1)[0].decode(encoding, "replace")
     names = header_names(first, sep)
     charset = {"utf-8-sig": "UTF-8", "cp1252": "ISO-8859-1", "latin-1": "ISO-8859-1"}.get(encoding, encoding)
     schema = ", ".join(f"c{i} string" for i in range(len(names)))
-    raw = spark.read.csv(path, schema=schema, sep=sep, header=True, enforceSchema=True, encoding=charset, quote='"', escape='"', multiLine=b'"' in data, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
+    raw = spark.read.csv(path, schema=schema, sep=sep, header=True, enforceSchema=True, encoding=charset, quote='"', escape='"', multiLine=multiline, mode="PERMISSIVE", ignoreLeadingWhiteSpace=False)
     if encoding == "cp1252":  # Spark reads no cp1252, which differs from ISO-8859-1 in 27 places
         there = {chr(b): bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)}
         there = {k: v for k, v in there.items() if v}
@@ -86,30 +88,17 @@ def _head(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def _whole_encoding(spark: SparkSession, path: str, head: bytes) -> str:
-    """The first known encoding that decodes every line; the lines are checked where they are read."""
-    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("b"))
-
-    def bad(encoding):
-        def run(batches):
-            import pyarrow as pa
-
-            for batch in batches:
-                n = 0
-                for b in batch.column(0).to_pylist():
-                    try:
-                        (b or b"").decode(encoding)
-                    except UnicodeDecodeError:
-                        n += 1
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([n])], names=["n"])
-
-        return run
-
-    for encoding in fixed.CSV_ENCODINGS[:-1]:
-        if lines.mapInArrow(bad(encoding), "n long").isEmpty():
-            return encoding
-    return fixed.CSV_ENCODINGS[-1]
+def _scan(spark: SparkSession, path: str) -> tuple[str, bool]:
+    """(the first known encoding that decodes every line, whether a record has several lines)."""
+    line = F.col("value")
+    # ISO-8859-1 gives each byte its own character; cp1252 has no character for five of them.
+    undefined = F.decode(line.cast("binary"), "ISO-8859-1").rlike("[\\x81\\x8d\\x8f\\x90\\x9d]")
+    # The line on which a quoted value is open at the end has an odd number of quotes.
+    odd = F.regexp_count(line, F.lit('"')) % 2 == 1
+    text = spark.read.text(path)
+    row = text.agg(F.count_if(~F.is_valid_utf8(line)).alias("not_utf8"), F.count_if(undefined).alias("not_cp1252"), F.count_if(odd).alias("odd")).first()
+    fits = {"utf-8-sig": not row["not_utf8"], "cp1252": not row["not_cp1252"], "latin-1": True}
+    return next(e for e in fixed.CSV_ENCODINGS if fits[e]), row["odd"] > 0
 
 
 def infer_types(cells: DataFrame) -> DataFrame:
