@@ -51,6 +51,45 @@ def test_pipeline(spark, tmp_path):
     assert len(kept["token_output"]) == len(kept["source_mixing"])
 
 
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _pl_id long, _found string, _PL_source string, quality int, id string, letters int, tie int"
+
+
+def odd_rows(rng):
+    """Null and repeated ids, nulls in every column, equal rows, empty and long texts, and clashing column names."""
+    texts = [words(rng, 30, 3000), None, "", "?!", "a", words(rng, 4000, 3000), words(rng, 30, 3000)]
+    keys = [(1, 0), (1, 0), (1, 6), (None, 0), (None, 1), (2, 1), (3, 2), (4, 3), (5, 4), (6, 5), (7, 6), (7, 6), (8, 0), (None, 6)]
+    return [(i, texts[t], None if n % 5 == 0 else "en", None if n % 4 == 0 else "s", None, n, None, "x", 1, None, n, 2) for n, (i, t) in enumerate(keys)]
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    rng = random.Random(25)
+    rows = odd_rows(rng)
+    bench = [(1, words(rng, 12, 3000)), (None, rows[10][1][:60]), (2, None)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame(rows, ODD)
+    kept, key = {}, lambda r: tuple(map(str, r))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        found = stage(spark, docs, str(tmp_path))
+        assert found.columns == docs.columns, name
+        kept[name] = sorted(found.collect(), key=key)
+        if name == "source_mixing":
+            assert set(kept[name]) <= {*map(tuple, rows)}
+        else:
+            assert set(kept[name]) <= {*map(tuple, rows)} and len(kept[name]) == len(set(kept[name])), name
+    assert {r["tie"] for r in kept["language_id"]} == {2} and {r["letters"] for r in kept["language_id"]} == {n for n, r in enumerate(rows) if any(c.isalpha() for c in r[1] or "")}
+    # One row of each id that stays; those without ids and without words are nobody's copies.
+    assert sorted(str(r["doc_id"]) for r in kept["near_duplicates"]) == ["1", "2", "3", "4", "5", "6", "None", "None", "None"]
+    assert {r["letters"] for r in kept["benchmark_decontamination"]} == {n for n, r in enumerate(rows) if not brute_hits(r[1], bench)[1]}
+    out = corpus_pipeline.token_output(spark, docs, "").collect()
+    assert sorted(str(r["doc_id"]) for r in out) == sorted(str(r[0]) for r in rows) and min(r["n_tokens"] for r in out) == 1
+
+
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
 def test_token_output_keeps_the_shuffled_order(spark):
     rng = random.Random(15)
     docs = spark.createDataFrame([(i, words(rng, 5), "en", "s", 0) for i in range(100)], "doc_id long, text string, lang string, source string, n_chars long")
