@@ -7,16 +7,13 @@ is computed again from those files or from the inputs.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.storage import materialize, release, shared_path
+from ..functions.workers import find_package
 
-#: The folder that holds this package.
-ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: What a table that is broadcast may take in memory.
 BROADCAST_BYTES = 64 << 20
 #: Rows that Spark hands to Python at once, and their bytes; a row may hold a long text.
@@ -34,9 +31,7 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     These are settings of the session and stay, as a frame is run after this
     returns. Workers must also find this package where the driver did.
     """
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
-    if ROOT not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
+    find_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
@@ -73,4 +68,4 @@ def join_by_keys(df: DataFrame, keys: DataFrame, on, how: str, limit: int | None
     return df.join(F.broadcast(keys) if is_small(keys, limit) else keys.hint("merge"), on, how)
 
 
-__all__ = ["BROADCAST_BYTES", "ROOT", "free_name", "is_small", "join_by_keys", "materialize", "memory_bytes", "release", "shared_path", "small_batches", "table"]
+__all__ = ["BROADCAST_BYTES", "free_name", "is_small", "join_by_keys", "materialize", "memory_bytes", "release", "shared_path", "small_batches", "table"]
