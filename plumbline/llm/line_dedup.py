@@ -14,8 +14,8 @@ extended both ways line by line against the first occurrence (onwards by fewer t
 deleted. Each deleted line equals an earlier line, so nothing is lost altogether.
 
 A common window's group is only counted and its least position taken, which is
-done before and after the shuffle; joins back are by its hash, where adaptive
-execution splits a hot one.
+done before and after the shuffle. Both results are written, and joined back by
+their size: broadcast, or by hash, where adaptive execution then splits a hot one.
 
 Defined cases: a null text stays null with 0 lines; an empty text has one empty
 line; texts of fewer than ``WORDS`` words have no window and are kept; rows equal
@@ -31,8 +31,6 @@ from pyspark.sql import functions as F
 from . import common
 
 WORDS = 50
-#: Documents with deleted runs that may be broadcast; some hundred bytes each.
-BROADCAST_DOCS = 50_000
 
 
 def line_structs(text: Column) -> Column:
@@ -82,14 +80,17 @@ def common_prefix(a: Column, b: Column) -> Column:
 def repeated_runs(one: DataFrame, words: int) -> DataFrame:
     """(doc_id, th, a, b): runs of lines to delete, from a up to b."""
     spans = common.materialize(windows(one, words), "windows")
-    twice = spans.where("fresh").groupBy("fh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fh")
-    likely = common.materialize(spans.join(twice, "fh", "left_semi").select("doc_id", "th", "s", "n", "rest", "k", "l"), "likely")
+    twice = common.materialize(spans.where("fresh").groupBy("fh").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fh"), "fingerprints")
+    likely = common.materialize(common.join_by_keys(spans, twice, "fh", "left_semi").select("doc_id", "th", "s", "n", "rest", "k", "l"), "likely")
+    common.release(spans, twice)
     first = likely.groupBy("k", "l").agg(F.min(F.struct("doc_id", "th", "s")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1").select("k", "l", "first")
-    later = likely.join(first, ["k", "l"]).where(~F.struct("doc_id", "th", "s").eqNullSafe(F.col("first")))
+    first = common.materialize(first, "first-windows")
+    later = common.join_by_keys(likely, first, ["k", "l"], "inner").where(~F.struct("doc_id", "th", "s").eqNullSafe(F.col("first")))
     diagonal = Window.partitionBy("doc_id", "th", "fd", "ft", "delta").orderBy("s")
     later = later.select("doc_id", "th", "s", "n", "rest", F.col("first.doc_id").alias("fd"), F.col("first.th").alias("ft"), (F.col("s") - F.col("first.s")).alias("delta"))
     islands = later.withColumn("island", F.col("s") - F.row_number().over(diagonal)).groupBy("doc_id", "th", "fd", "ft", "delta", "island")
     runs = common.materialize(islands.agg(F.min("s").alias("a"), F.max(F.col("s") + F.col("n") - 1).cast("int").alias("b"), F.min("rest").alias("rest")), "runs")
+    common.release(likely, first)
 
     full_lines = F.array_compact(F.transform("lines", lambda x, i: F.when(x["w"] > 0, i)))
     hashes = one.select("doc_id", "th", F.transform("lines", lambda x: F.struct(x["h"], x["g"])).alias("own"), full_lines.alias("full_lines"))
@@ -119,7 +120,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words
     one = common.materialize(one, "lines")
     gone = repeated_runs(one, words).groupBy("doc_id", "th").agg(F.collect_set(F.struct("a", "b")).alias("gone"))
     gone = common.materialize(gone.select(F.col("doc_id").alias("_pl_id"), F.col("th").alias("_pl_th"), "gone"), "gone")
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_DOCS else gone
+    side = F.broadcast(gone) if common.is_small(gone) else gone
     marked = keyed.join(side, F.col("doc_id").eqNullSafe(F.col("_pl_id")) & (F.col("th") == F.col("_pl_th")), "left")
     lines = F.split("text", "\n")
     kept = F.filter(lines, lambda x, i: ~F.exists("gone", lambda r: (i >= r["a"]) & (i <= r["b"])))
