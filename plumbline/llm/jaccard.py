@@ -1,7 +1,10 @@
-"""Exact n-gram Jaccard self-join: linked documents and their components.
+"""N-gram Jaccard self-join: linked documents and their components.
 
-A document is the set of its distinct 5-word shingles (64-bit hashes; with fewer
-words, the whole sequence is one). Two link when 100 * |A & B| >= 80 * |A | B|.
+A document is the set of its distinct 5-word shingles (with fewer words, the whole
+sequence is one). Two link when 100 * |A & B| >= 80 * |A | B|. No link is lost;
+shingles are compared by hashes of 64 bits, so a false link needs as many chance
+collisions as the texts lack common shingles (for two texts of one shingle each,
+one: about n * n / 2 ** 65 among n such texts).
 
 1. Documents with equal sets (128-bit digest) become one node, the smallest id.
 2. Prefix filter. Under any common order of shingles, linked sets share one of
@@ -14,9 +17,11 @@ words, the whole sequence is one). Two link when 100 * |A & B| >= 80 * |A | B|.
 3. Nodes of long lists (``HOT``) are taken anew with exact counts of all their
    shingles, which takes common passages out of their prefixes.
 4. T-occurrence search within an inverted list (DivideSkip): a query's longest
-   lists are set aside, its short ones are heap-merged, candidates are probed for
-   in the long ones by binary search, and a pair is linked if its whole overlap
-   suffices. Pairs that are already connected aren't counted again, so a group of
+   lists are set aside, its short ones are heap-merged (more than ``MERGE`` elements
+   by numpy's stable sort, which merges the sorted runs into the same sequence),
+   candidates are probed for in the long ones by binary search, and a pair is linked
+   if its whole overlap suffices. Before that, one member of the largest component in
+   reach is compared directly, as copies mostly link with it. Pairs that are already connected aren't counted again, so a group of
    copies costs a row per member, not per pair. Lists that share nodes make up a
    family. A family of at most ``BLOCK`` nodes is one block. A larger one counts as
    one list where that is less work than its lists, which may overlap; there each
@@ -25,10 +30,14 @@ words, the whole sequence is one). Two link when 100 * |A & B| >= 80 * |A | B|.
    full, every member outside the largest component against all blocks. Nothing
    is capped: a list of any length is worked off in blocks of bounded size.
 5. Components by alternating large and small stars, on tables in the shared folder.
+   A star's least neighbour is written before it is joined back, so a hub's edges
+   stay where they are or, beyond what is broadcast, are split by adaptive execution.
 
 Defined cases: null, empty and wordless texts have no shingles and link with
 nothing; a null id gets a null component; rows that share an id are one document
-for links; an empty table gives no rows; further columns are ignored.
+for links; very long texts are read whole, a text at a time; an empty table gives
+no rows; further columns are ignored, and keep_one passes them on whatever their
+names.
 """
 
 from __future__ import annotations
@@ -125,17 +134,21 @@ def inverted_lists(postings: DataFrame, tau: float, name: str) -> DataFrame:
     A list here is one of a shingle's parts by size, so h is a hash of both.
     """
     bound = -(1 << 63) + int(tau * 2**64)
-    counts = postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = postings.join(counts, "h")
+    counts = common.materialize(postings.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), f"{name}-counts")
+    # The counts grow with the postings, so they are never broadcast.
+    shared = postings.join(counts.hint("merge"), "h")
     last = F.lit(False) if tau >= 1 else F.col("h") >= F.lit(bound)
     by_node = Window.partitionBy("node")
     ranked = shared.withColumn("shared", F.count(F.lit(1)).over(by_node)).withColumn("place", F.row_number().over(by_node.orderBy(last, F.when(last, F.lit(0)).otherwise(F.col("df")), "h")))
     size_class = F.floor(F.log("n") / F.lit(math.log(1.25001)))
     parts = F.explode(F.array(F.xxhash64("h", size_class), F.xxhash64("h", size_class - 1)))
     prefix = common.materialize(ranked.where("place <= r + shared").select("node", parts.alias("h")), f"{name}-prefix")
+    common.release(counts)
     signed = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")).where("size > 1")
-    chosen = signed.groupBy("size", "a", "b").agg(F.min("h").alias("h")).select("h", "size")
-    return common.materialize(prefix.join(chosen, "h").select("node", "h", "size"), f"{name}-lists")
+    chosen = common.materialize(signed.groupBy("size", "a", "b").agg(F.min("h").alias("h")).select("h", "size"), f"{name}-chosen")
+    lists = common.materialize(prefix.join(chosen, "h").select("node", "h", "size"), f"{name}-lists")
+    common.release(prefix, chosen)
+    return lists
 
 
 class Lists:
@@ -265,12 +278,13 @@ def _edge_batch(edges):
 
 
 def search(blocks: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) found within blocks (h, c, g, node, label, asks)."""
+    """Links (u, v) found within blocks (h, c, g, node, label, asks); written."""
     blocks = common.materialize(blocks, "blocks")
-    small = F.broadcast(blocks) if blocks.count() <= common.BROADCAST_ROWS else blocks
-    rows = sets.join(small, "node").select("h", "c", "g", "node", "label", "asks", "shingles")
+    rows = common.join_by_keys(sets, blocks, "node", "inner").select("h", "c", "g", "node", "label", "asks", "shingles")
     dealt = rows.repartition("h", "c", "g").sortWithinPartitions("h", "c", "g")
-    return dealt.mapInArrow(_search_blocks(percent), "u long, v long")
+    links = common.materialize(dealt.mapInArrow(_search_blocks(percent), "u long, v long"), "links")
+    common.release(blocks)
+    return links
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -278,33 +292,34 @@ def components(edges: DataFrame) -> DataFrame:
     def ordered(e):
         return e.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
-    def mark(e):
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
+    def is_forest(e):
+        """Whether e is stars around roots: no node has two parents, or a parent and children."""
+        ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+        return ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty()
 
+    # What is joined below is written, so a side of small files is broadcast and a hot key can be split, without a job to ask.
     e = common.materialize(ordered(edges), "edges")
-    before = mark(e)
-    while before[0]:
+    while not is_forest(e):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = ordered(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = common.materialize(large, "large-star")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = common.materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
+        # As e has u > v, the pairs with v > u are e turned round.
+        turned = e.select(F.col("v").alias("u"), F.col("u").alias("w"))
+        large = common.materialize(ordered(turned.join(low, "u").select(F.col("w").alias("u"), F.col("m").alias("v"))), "large-star")
+        least = common.materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        e = common.materialize(ordered(small), "small-star")
-        now = mark(e)
-        if now == before:
-            break
-        before = now
+        old, e = e, common.materialize(ordered(small), "small-star")
+        common.release(old, low, large, least)
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).union(roots)
 
 
 def families(lists: DataFrame) -> DataFrame:
     """(node, family, members): nodes that lists connect."""
-    first = lists.groupBy("h").agg(F.min("node").alias("v"))
+    first = common.materialize(lists.groupBy("h").agg(F.min("node").alias("v")), "first-nodes")
     of = components(lists.join(first, "h").select(F.col("node").alias("u"), "v"))
     of = common.materialize(of.withColumnRenamed("component", "family"), "families")
-    return of.join(of.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family").select("node", "family", "members")
+    sizes = common.materialize(of.groupBy("family").agg(F.count(F.lit(1)).alias("members")), "family-sizes")
+    return of.join(sizes, "family").select("node", "family", "members")
 
 
 def blocks_of_families(of: DataFrame) -> DataFrame:
@@ -315,8 +330,7 @@ def blocks_of_families(of: DataFrame) -> DataFrame:
 
 def lists_of_large(lists: DataFrame, large: DataFrame) -> DataFrame:
     """The lists of large families; where they repeat the same nodes so much that the family as one list is less to search, that."""
-    small = F.broadcast(large) if large.count() <= common.BROADCAST_ROWS else large
-    own = common.materialize(lists.join(small, "node"), "family-lists")
+    own = common.materialize(common.join_by_keys(lists, large, "node", "inner"), "family-lists")
     work = own.groupBy("family", "h").agg(F.count(F.lit(1)).alias("c"), F.max("members").alias("members")).groupBy("family").agg(F.sum(F.col("c") * F.col("c")).alias("work"), F.max("members").alias("members"))
     whole = common.materialize(work.where(F.col("members") * F.col("members") <= F.col("work")).select("family"), "whole-families")
     together = common.join_by_keys(large, whole, "family", "left_semi").select("node", F.col("family").alias("h"), F.col("members").alias("size"))
@@ -359,7 +373,7 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
 
     classes = named.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "rep")
     classes = common.materialize(classes, "classes")
-    copies = common.materialize(named.select("doc_id", "digest").join(classes, "digest").where("doc_id != rep").select("doc_id", "digest", "rep"), "copies")
+    copies = common.materialize(common.join_by_keys(named.select("doc_id", "digest"), classes, "digest", "inner").where("doc_id != rep").select("doc_id", "digest", "rep"), "copies")
     postings = common.join_by_keys(named, copies.select("doc_id", "digest"), ["doc_id", "digest"], "left_anti")
     postings = postings.select(F.col("doc_id").alias("node"), F.col("n").cast("int").alias("n"), "r", F.explode("low").alias("h"))
     lists = inverted_lists(postings, tau, "low")
@@ -368,20 +382,23 @@ def self_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     sets = common.materialize(common.join_by_keys(texts, wanted, "doc_id", "left_semi").mapInArrow(_whole(k), "node long, shingles binary"), "sets")
     hot_nodes = common.materialize(lists.where(F.col("size") > hot).select("node").distinct(), "hot-nodes")
     again = common.join_by_keys(sets, hot_nodes, "node", "left_semi").mapInArrow(_explode_bytes, "node long, n int, r int, h long")
-    lists = common.materialize(lists.where(F.col("size") <= hot).union(inverted_lists(again, 1.0, "hot")), "lists")
+    low, high = lists, inverted_lists(again, 1.0, "hot")
+    lists = common.materialize(low.where(F.col("size") <= hot).union(high), "lists")
+    common.release(low, high, wanted, hot_nodes)
 
     # Copies of a document that has rows with other texts too: an id is one document.
     several = named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
     same = copies.join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     of = common.materialize(families(lists), "families")
-    edges = [common.materialize(search(blocks_of_families(of.where(F.col("members") <= BLOCK)), sets, percent).union(same), "links")]
+    edges = [search(blocks_of_families(of.where(F.col("members") <= BLOCK)), sets, percent), same]
     large = common.materialize(of.where(F.col("members") > BLOCK), "large-families")
     if not large.isEmpty():
         lists = common.materialize(lists_of_large(lists, large), "large-lists")
-        edges.append(common.materialize(search(blocks_of_longest(lists), sets, percent), "links"))
-        found = common.materialize(components(edges[1]), "components")
-        edges.append(common.materialize(search(blocks_of_rest(lists, found), sets, percent), "links"))
+        edges.append(search(blocks_of_longest(lists), sets, percent))
+        found = common.materialize(components(edges[-1]), "components")
+        edges.append(search(blocks_of_rest(lists, found), sets, percent))
     found = common.materialize(components(reduce(DataFrame.union, edges)), "components")
+    common.release(sets, lists, of, large)
 
     joined = rows.select("doc_id", "n", "digest").join(classes, "digest", "left")
     joined = joined.withColumn("node", F.when(F.col("n") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id"))).join(found, "node", "left")
@@ -395,16 +412,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     an id are all kept, as nothing names them.
     """
     found = self_join(docs, id_col, text_col)
-    gone = common.materialize(found.where("component_id != doc_id").select(F.col("doc_id").alias("_pl_id")).distinct(), "near-copies")
-    own = F.col(f"`{id_col}`").cast("long")
-    left = common.join_by_keys(docs.withColumn("_pl_id", own), gone, "_pl_id", "left_anti")
-    again = common.materialize(docs.groupBy(own.alias("_pl_id")).agg(F.count(F.lit(1)).alias("c")).where("c > 1 AND _pl_id IS NOT NULL").select("_pl_id"), "repeated-ids")
+    own, name = F.col(f"`{id_col}`").cast("long"), common.free_name(docs, "_pl_id")
+    gone = common.materialize(found.where("component_id != doc_id").select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    left = common.join_by_keys(docs.withColumn(name, own), gone, name, "left_anti")
+    again = common.materialize(docs.groupBy(own.alias(name)).agg(F.count(F.lit(1)).alias("c")).where(F.col(name).isNotNull() & (F.col("c") > 1)).select(name), "repeated-ids")
     if again.isEmpty():
-        return left.drop("_pl_id")
-    repeated = common.join_by_keys(left, again, "_pl_id", "left_semi")
+        return left.drop(name)
+    repeated = common.join_by_keys(left, again, name, "left_semi")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    one = repeated.groupBy("_pl_id").agg(F.min_by(row, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_pl_row")).select("_pl_row.*")
-    return common.join_by_keys(left, again, "_pl_id", "left_anti").drop("_pl_id").union(one)
+    one = repeated.groupBy(name).agg(F.min_by(row, F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))).alias("_pl_row")).select("_pl_row.*")
+    return common.join_by_keys(left, again, name, "left_anti").drop(name).union(one)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
