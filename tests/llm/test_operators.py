@@ -75,6 +75,38 @@ def test_archive_notices_damage(spark, tmp_path):
     spark.createDataFrame([(r["key"], b"bad!") for r in rows], "key binary, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="differs from its digest"):
         warc.read_archive(spark, path).collect()
+    for number, (old, new) in enumerate([("Content-Length: 4\r\n\r\n", "Content-Length: 5\r\n\r\n"), ("sha1:", "sha1:A")]):
+        other = f"file://{tmp_path}/b{number}"
+        warc.write_archive(spark.createDataFrame([(1, "u", "good"), (2, "u", "good")], "page_id long, url string, html string"), other)
+        rows = spark.read.parquet(f"{other}/headers").collect()
+        changed = [(bytes(r["key"]), r["has_payload"], bytes(r["header"]).replace(old.encode(), new.encode())) for r in rows]
+        spark.createDataFrame(changed, "key binary, has_payload boolean, header binary").write.mode("overwrite").parquet(f"{other}/headers")
+        with pytest.raises(Exception, match="differs from its header"):
+            warc.read_archive(spark, other).collect()
+
+
+def test_a_hot_key_is_split_when_keys_are_written(spark):
+    """Beyond what is broadcast, adaptive execution splits the tasks of a hot key on the side that has it."""
+    from plumbline.llm import common
+
+    low = {"spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in low}
+    rows = spark.range(0, 40_000, 1, 8).selectExpr("CASE WHEN id % 3 > 0 THEN 7 ELSE id END AS k", "id AS x")
+    keys = common.materialize(rows.groupBy("k").agg(F.max("x").alias("top")), "keys")
+    try:
+        for k, v in low.items():
+            spark.conf.set(k, v)
+        for how in ("inner", "left_semi"):
+            joined = common.join_by_keys(rows, keys, "k", how, limit=0)
+            assert joined.count() == 40_000
+            joined.write.format("noop").mode("overwrite").save()
+            done = joined.agg(F.sum("x"))
+            done.collect()
+            assert "skew=true" in done._jdf.queryExecution().executedPlan().toString()
+        assert common.join_by_keys(rows, keys, "k", "inner")._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def test_archive_min_bytes_and_empty(spark, tmp_path):
