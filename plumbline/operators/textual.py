@@ -65,8 +65,9 @@ class TextStats:
     def table(self) -> dict[str, dict]:
         """All of it by column, unrounded."""
         out = {r["column_name"]: r.asDict() for r in self.shares.collect()}  # a row per column
-        for r in self.spans.collect():
-            out[r["column_name"]] |= r.asDict()
+        if any(r["looks_datetime"] and not r["looks_numeric"] for r in out.values()):
+            for r in self.spans.collect():
+                out[r["column_name"]] |= r.asDict()
         top: dict[str, list] = {}
         for r in sorted(self.ranked.collect(), key=lambda r: r["place"]):
             top.setdefault(r["column_name"], []).append({"value": r["v"], "n": r["n"]})

@@ -243,6 +243,9 @@ def _catalogue() -> dict[str, tuple]:
     q["column_types"] = (simple(dataset.column_types)("lineitem"), "SELECT semantic_type, count(*) AS n_columns FROM (SELECT CASE WHEN data_type IN ('BIGINT', 'INTEGER', 'DOUBLE') THEN 'numeric' WHEN data_type LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'categorical' END AS semantic_type FROM information_schema.columns WHERE table_name = 'lineitem') GROUP BY 1")
     q["column_missing"] = (simple(dataset.column_missing)("orders_missing"), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing_count, round(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS missing_pct FROM {duck('orders_missing')}" for c in ("o_orderkey", "few", "part_left", "many", "none_left", "words")))
     q["estimated_bytes"] = (simple(dataset.estimated_bytes)("nation"), "SELECT 'n_nationkey' AS column_name, CAST(4 * count(*) AS BIGINT) AS estimated_bytes FROM nation UNION ALL SELECT 'n_name', CAST(sum(octet_length(encode(n_name))) AS BIGINT) FROM nation UNION ALL SELECT 'n_regionkey', CAST(4 * count(*) AS BIGINT) FROM nation")
+    for name, widths in (("lineitem", (8, 8, 8, 4, 8, 8, 8, 8, 0, 0, 8)), ("documents", (8, 0, 0, 0, 8)), ("customer", (8, 0, 4, 8, 0))):
+        of = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "documents": ("doc_id", "text", "lang", "source", "n_chars"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}[name]
+        q[f"estimated_bytes_{name}"] = (simple(dataset.estimated_bytes)(name), " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({f'{w} * count(*)' if w else f'coalesce(sum(octet_length(encode({c}))), 0)'} AS BIGINT) AS estimated_bytes FROM {name}" for c, w in zip(of, widths)))
     columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
     q["column_cardinality"] = (lambda spark, sf_dir: frequency.distinct_counts(read(spark, sf_dir, "lineitem")).select("column_name", "unique_count", F.bround(100 * F.col("unique_count") / F.col("present"), 2).alias("unique_pct"), (F.col("unique_count") == 1).alias("is_constant")), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_count, round(100.0 * count(DISTINCT {c}) / count({c}), 2) AS unique_pct, count(DISTINCT {c}) = 1 AS is_constant FROM lineitem" for c in columns))
     keys = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
@@ -281,6 +284,8 @@ def _catalogue() -> dict[str, tuple]:
     q["decimal_keys"] = (lambda spark, sf_dir: Profile(read(spark, sf_dir, "orders_decimal")).common.select("column_name", "unique_count", "is_unique_key"), f"WITH o AS {duck('orders_decimal')}, d AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM o)) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_count, count({c}) = count(*) AND count(DISTINCT {c}) > 1 AND count(DISTINCT {c}) = (SELECT n FROM d) AND count(DISTINCT {c}) >= 0.9 * count(*) AS is_unique_key FROM o" for c in wide))
     q["missing_half_even"] = (simple(dataset.column_missing)("orders_eighths"), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS missing_count, round_even(100.0 * count(*) FILTER ({c} IS NULL) / count(*), 2) AS missing_pct FROM {duck('orders_eighths')}" for c in ("o_orderkey", "one_gone", "three_gone")))
     q["datetime_stats"] = (lambda spark, sf_dir: dataset.datetime_stats(read(spark, sf_dir, "events"), ["ts"]).select("column_name", F.col("datetime_min").cast("timestamp_ntz").alias("datetime_min"), F.col("datetime_max").cast("timestamp_ntz").alias("datetime_max"), "span_days"), "SELECT 'ts' AS column_name, CAST(min(ts) AS TIMESTAMP) AS datetime_min, CAST(max(ts) AS TIMESTAMP) AS datetime_max, round((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400e6, 2) AS span_days FROM events")
+    for name, at in (("orders", "o_orderdate"), ("lineitem", "l_shipdate")):
+        q[f"datetime_stats_{name}"] = (lambda spark, sf_dir, name=name, at=at: dataset.datetime_stats(read(spark, sf_dir, name), [at]).select("column_name", F.col("datetime_min").cast("timestamp_ntz").alias("datetime_min"), F.col("datetime_max").cast("timestamp_ntz").alias("datetime_max"), "span_days"), f"SELECT '{at}' AS column_name, CAST(min({at}) AS TIMESTAMP) AS datetime_min, CAST(max({at}) AS TIMESTAMP) AS datetime_max, round((epoch_us(max({at})) - epoch_us(min({at}))) / 86400e6, 2) AS span_days FROM {name}")
     q["monotonic_ts"] = (lambda spark, sf_dir: dataset.monotonic(read(spark, sf_dir, "events"), "ts", "event_id"), "SELECT 'ts' AS column_name, coalesce(bool_and(ts >= b OR b IS NULL), true) AS is_monotonic_increasing FROM (SELECT ts, lag(ts) OVER (ORDER BY event_id) AS b FROM events)")
     q["boolean_stats"] = (lambda spark, sf_dir: dataset.boolean_stats(read(spark, sf_dir, "orders_flags"), ["big", "done"]), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c}) AS true_count, count(*) FILTER (NOT {c}) AS false_count, round(100.0 * count(*) FILTER ({c}) / count({c}), 2) AS true_pct FROM {duck('orders_flags')}" for c in ("big", "done")))
     q["sample_exact"] = (lambda spark, sf_dir: dataset.sample_exact(read(spark, sf_dir, "orders"), 1000, "o_orderkey"), "SELECT * FROM orders ORDER BY md5('0:' || CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 1000")
