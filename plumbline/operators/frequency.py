@@ -52,6 +52,9 @@ def distinct_counts(df: DataFrame) -> DataFrame:
         some = col(f.name).isNotNull()
         parts.append(F.struct(F.lit(i).alias("i"), F.when(some, a).alias("a"), F.when(some, b).alias("b")))
     values = _long(df, parts).groupBy("i", "a", "b").agg(F.count(F.lit(1)).alias("n"))
+    # A table without rows has its columns all the same.
+    none = F.lit(None).cast("long")
+    values = values.union(df.sparkSession.range(0, len(parts), 1, 1).select(F.col("id").cast("int"), none, none, F.lit(0).cast("long")))
     some = F.col("b").isNotNull()
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     got = values.groupBy("i").agg(F.sum("n").alias("rows"), total(~some).alias("missing"), total(some).alias("present"), F.count(F.when(some, 1)).alias("unique_count"))

@@ -104,6 +104,11 @@ def _rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
+def _share(part: str, whole: str):
+    """part of whole in percent to two digits, rounded as SQL rounds: of 100 times the double, halves away from zero; NaN of nothing."""
+    return F.when(F.col(whole) > 0, F.round(100 * F.col(part) / F.nullif(F.col(whole), F.lit(0)) * 100) / 100).otherwise(F.lit(float("nan")))
+
+
 def _numeric(part: Callable, sql: str, name: str = "lineitem"):
     """A numeric query over one table and its SQL, which follows the CTEs of _real."""
     return (lambda spark, sf_dir: _rounded(part(Profile(read(spark, sf_dir, name).select(*NUMERIC[name])).numeric)), f"WITH {_real(name)} {sql}")
@@ -247,7 +252,7 @@ def _catalogue() -> dict[str, tuple]:
         of = {"lineitem": ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"), "documents": ("doc_id", "text", "lang", "source", "n_chars"), "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")}[name]
         q[f"estimated_bytes_{name}"] = (simple(dataset.estimated_bytes)(name), " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({f'{w} * count(*)' if w else f'coalesce(sum(octet_length(encode({c}))), 0)'} AS BIGINT) AS estimated_bytes FROM {name}" for c, w in zip(of, widths)))
     columns = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
-    q["column_cardinality"] = (lambda spark, sf_dir: frequency.distinct_counts(read(spark, sf_dir, "lineitem")).select("column_name", "unique_count", F.bround(100 * F.col("unique_count") / F.col("present"), 2).alias("unique_pct"), (F.col("unique_count") == 1).alias("is_constant")), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_count, round(100.0 * count(DISTINCT {c}) / count({c}), 2) AS unique_pct, count(DISTINCT {c}) = 1 AS is_constant FROM lineitem" for c in columns))
+    q["column_cardinality"] = (lambda spark, sf_dir: frequency.distinct_counts(read(spark, sf_dir, "lineitem")).select("column_name", "unique_count", _share("unique_count", "present").alias("unique_pct"), (F.col("unique_count") == 1).alias("is_constant")), " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS unique_count, round(100.0 * count(DISTINCT {c}) / count({c}), 2) AS unique_pct, count(DISTINCT {c}) = 1 AS is_constant FROM lineitem" for c in columns))
     keys = ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     q["unique_keys"] = (lambda spark, sf_dir: Profile(read(spark, sf_dir, "orders_dup")).common.select("column_name", "is_unique_key"), f"WITH o AS {duck('orders_dup')}, d AS (SELECT count(*) AS n FROM (SELECT DISTINCT * FROM o)) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count({c}) = count(*) AND count(DISTINCT {c}) > 1 AND count(DISTINCT {c}) = (SELECT n FROM d) AND count(DISTINCT {c}) >= 0.9 * count(*) AS is_unique_key FROM o" for c in keys))
 
