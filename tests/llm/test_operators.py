@@ -439,6 +439,23 @@ def test_language_of_pages(spark):
 
 
 # 8 ---------------------------------------------------------------------------
+def test_components_join_in_few_jobs(spark):
+    """Long chains, hubs and loops: one task joins what the tasks kept, whatever the chain's length; stars give the same."""
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(3000).tolist()
+    edges = [*zip(chain, chain[1:]), *((5000, 5001 + k) for k in range(500)), (9, 9), (-7, 6000), (6000, 6001), (6001, -7), (6000, 6001)]
+    frame = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    want = {x: 0 for x in range(3000)} | {x: 5000 for x in range(5000, 5501)} | {x: -7 for x in (-7, 6000, 6001)}
+    tracker, group = spark.sparkContext.statusTracker(), "components"
+    spark.sparkContext.setJobGroup(group, group)
+    found = jaccard.components(frame).collect()
+    spark.sparkContext.setJobGroup("others", "others")
+    assert len(found) == len(want) and {r["node"]: r["component"] for r in found} == want
+    assert len(tracker.getJobIdsForGroup(group)) <= 8
+    assert {r["node"]: r["component"] for r in jaccard.components(frame, together=100).collect()} == want
+    assert jaccard.components(frame.where("u = v")).count() == 0
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
