@@ -366,8 +366,8 @@ def write_records(docs: DataFrame, path: str, tokenizer_file: str, end_id: int =
     return spark.read.schema("doc_id long, shard string, at long, size long").parquet(f"{path}/index")
 
 
-def read_records(index: DataFrame, path: str) -> DataFrame:
-    """(doc_id, part, before, ids binary, width) of every record the index names, from the shards; checksums are verified."""
+def _fetch(path: str):
+    """Rows of an index -> what they name in the shards below path, checksums verified."""
     def run(batches):
         store, root = _store(f"{path}/data")
         for batch in batches:
@@ -389,8 +389,13 @@ def read_records(index: DataFrame, path: str) -> DataFrame:
             if rows:
                 yield _read_batch(rows)
 
+    return run
+
+
+def read_records(index: DataFrame, path: str) -> DataFrame:
+    """(doc_id, part, before, ids binary, width) of every record the index names, from the shards; checksums are verified."""
     common.small_batches(index.sparkSession)
-    return index.mapInArrow(run, "doc_id long, part int, before long, width int, ids binary")
+    return index.mapInArrow(_fetch(path), "doc_id long, part int, before long, width int, ids binary")
 
 
 def _read_batch(rows):
@@ -398,18 +403,29 @@ def _read_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["doc_id", "part", "before", "width", "ids"])
 
 
+def _digest(batches):
+    for batch in batches:
+        n, crc = [], []
+        for width, ids in zip(batch.column(3).to_pylist(), batch.column(4)):
+            values = np.frombuffer(ids.as_buffer(), dtype=f"<u{width}")
+            n.append(len(values))
+            crc.append(zlib.crc32(values.astype("<u4")))
+        yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
+
+
+DIGEST = "doc_id long, part int, before long, n_tokens long, ids_crc32 long"
+
+
 def digests(records: DataFrame) -> DataFrame:
     """(doc_id, part, before, n_tokens, ids_crc32) of records."""
-    def run(batches):
-        for batch in batches:
-            n, crc = [], []
-            for width, ids in zip(batch.column(3).to_pylist(), batch.column(4)):
-                values = np.frombuffer(ids.as_buffer(), dtype=f"<u{width}")
-                n.append(len(values))
-                crc.append(zlib.crc32(values.astype("<u4")))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "part", "before", "n_tokens", "ids_crc32"])
+    return records.mapInArrow(_digest, DIGEST)
+
 
-    return records.mapInArrow(run, "doc_id long, part int, before long, n_tokens long, ids_crc32 long")
+def read_digests(index: DataFrame, path: str) -> DataFrame:
+    """``digests`` of ``read_records``; the worker that reads a record describes it, as a second one takes as much memory again."""
+    fetch = _fetch(path)
+    common.small_batches(index.sparkSession)
+    return index.mapInArrow(lambda batches: _digest(fetch(batches)), DIGEST)
 
 
 def with_starts(found: DataFrame) -> DataFrame:
@@ -427,7 +443,7 @@ def encode_and_read_back(docs: DataFrame, tokenizer_file: str | None = None, ord
 
     path = common.shared_path(docs.sparkSession, "token-records")
     index = write_records(docs, path, tokenizer_file or public_tokenizers.path(TOKENIZER), order=order)
-    return with_starts(common.materialize(digests(read_records(index, path)), "token-digests"))
+    return with_starts(common.materialize(read_digests(index, path), "token-digests"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -99,3 +99,18 @@ def test_token_output_keeps_the_shuffled_order(spark):
     assert sum(a == b for a, b in zip(got, got[1:])) < len(got) / 10 and sum(a < b for a, b in zip(got, got[1:])) < len(got) * 0.6
     by_text = token_records.encode_and_read_back(docs, order=["text"]).orderBy("start").collect()
     assert [r["doc_id"] for r in by_text] == [r["doc_id"] for r in docs.orderBy("text").collect()]
+
+
+def test_token_output_has_a_worker_for_a_task(spark):
+    """No task of the stage needs two Python workers, each of which keeps what it has loaded; the records read back are the same."""
+    import public_tokenizers
+
+    from plumbline.llm import common, token_records
+
+    docs = spark.createDataFrame([(k, "one two\nthree " * (k % 5)) for k in range(40)], "doc_id long, text string")
+    path = common.shared_path(spark, "token-records")
+    index = token_records.write_records(docs, path, public_tokenizers.path(token_records.TOKENIZER))
+    found = token_records.read_digests(index, path)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, token_records.digests(token_records.read_records(index, path)).collect()))
